@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.binary_packing import pack_binary
 from tessera.llm.common import new_dir
+from tessera.llm.containment import contained_items
+from tessera.llm.gray_simhash import near_duplicates
+from tessera.llm.license_automaton import scan_licences
+from tessera.llm.line_chunks import drop_repeated_chunks
 from tessera.llm.repetition import FIELDS, repetition_rules
+from tessera.llm.site_style import extract_text
 from tessera.llm.token_counts import token_counts
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.warc_shards import read_warc, write_warc
@@ -21,12 +26,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_dir(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), folder, BYTE_BPE, end_id=0)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_binary(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, max_length=2048)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -37,6 +50,10 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col("repetition")[f].alias(f) for f in (*FIELDS, "base_failed", "kept")))
 
 
+def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
@@ -47,5 +64,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_files, op4_binary_packing, op5_repetition, op7_token_counts, op8_warc)}
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "dedup.text", "dedup.n_lines", "dedup.n_removed")
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style, op2_token_files, op3_gray_simhash, op4_binary_packing, op5_repetition, op6_containment, op7_token_counts, op8_warc, op9_line_chunks, op10_licences)}
 ORACLE_SQL: dict[str, str] = {}

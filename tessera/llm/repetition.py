@@ -12,10 +12,13 @@ from tessera.llm.common import no_null, text_slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
-#: The largest share of characters inside n-grams that occur twice or more, by n; widely used limits of repetition rules.
+#: The largest share of characters inside n-grams that occurred before in the text, by n; widely used limits of repetition rules.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: The same for characters inside repeated lines, for repeated lines among lines, and for symbols beside words.
 LINE_CHARS_LIMIT, LINES_LIMIT, SYMBOLS_LIMIT = 0.20, 0.30, 0.10
+#: One line that stands at the top and at the end of a short text is no junk: so many repeated lines are needed for LINES_LIMIT,
+#: and so many words in repeats for NGRAM_LIMITS.
+LEAST_LINES, LEAST_WORDS = 3, 30
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -28,6 +31,13 @@ def _repeated(values: np.ndarray) -> np.ndarray:
     return n[at] > 1
 
 
+def _again(values: np.ndarray) -> np.ndarray:
+    """Which values occurred before."""
+    out = np.ones(len(values), bool)
+    out[np.unique(values, return_index=True)[1]] = False
+    return out
+
+
 def _covered(repeated: np.ndarray, n: int, words: int) -> np.ndarray:
     """Which words lie in a repeated window of n words."""
     edge = np.zeros(words + 1, np.int64)
@@ -73,13 +83,13 @@ def measure(text: str, orders: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> tuple:
                 for j in range(order):
                     h = h * _BASE + mixed[start + j]
                     h ^= h >> np.uint64(29)
-                hit = start[_repeated(h)]
-                if not len(hit):
+                hit = np.zeros(n - order + 1, bool)
+                hit[start[_again(h)]] = True
+                if not hit.any():
                     break
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + order, -1)
-                shares[k] = float(lengths[np.cumsum(edge[:-1]) > 0].sum() / chars)
+                covered = _covered(hit, order, n)
+                if covered.sum() >= LEAST_WORDS:
+                    shares[k] = float(lengths[covered].sum() / chars)
     return n, chars, symbols, repeats, in_repeats, shares, line_chars, repeats / len(lines) if lines else 0.0
 
 
@@ -88,7 +98,7 @@ def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repet
 
     base_failed: fewer than 50 words, or over half of the words in three-word windows that occur twice or more.
     kept: not base_failed, and no share above its limit (NGRAM_LIMITS, LINE_CHARS_LIMIT, LINES_LIMIT; symbols at most
-    SYMBOLS_LIMIT of the words). Each row is measured alone: no shuffle, all rows kept, memory bound by one text.
+    SYMBOLS_LIMIT of the words), where the repeats come to LEAST_WORDS words or LEAST_LINES lines. Each row is measured alone: no shuffle, all rows kept, memory bound by one text.
     Null texts have no words: base_failed. Repeated rows get equal results. name must not be a column of docs.
     """
     if name in docs.columns:
@@ -103,7 +113,7 @@ def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repet
 
     m = F.col("__m")
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    over = (m["line_chars"] > LINE_CHARS_LIMIT) | (m["lines"] > LINES_LIMIT) | (m["n_symbols"] > SYMBOLS_LIMIT * m["n_words"])
+    over = (m["line_chars"] > LINE_CHARS_LIMIT) | ((m["lines"] > LINES_LIMIT) & (m["n_dup_lines"] >= LEAST_LINES)) | (m["n_symbols"] > SYMBOLS_LIMIT * m["n_words"])
     for k, limit in enumerate(NGRAM_LIMITS.values()):
         over = over | (m["ngram_chars"][k] > limit)
     out = docs.withColumn("__m", measured.asNondeterministic()(no_null(text_col)))
