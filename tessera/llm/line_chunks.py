@@ -107,7 +107,8 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Only chunk hashes are shuffled at first; then each document that holds a repeated hash is read again for the chunk's
     bytes. Equal hashes with other bytes are told apart and stay. Groups are counted before the shuffle, and joins of hot
-    chunks can be split, so no task holds a group.
+    chunks can be split, so no task holds a group. None of the joined tables has a
+    proven bound, so none is broadcast: the plan is the same at every size.
     """
     if name in docs.columns:
         raise ValueError(f"docs has a column {name}")
@@ -116,17 +117,17 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id_type = rows.schema["id"].dataType.simpleString()
     found = written(rows.mapInArrow(_hashed, f"id {id_type}, key long, first int, lines int, hash long").distinct(), "chunks")
     repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    places = found.join(repeated, "hash").groupBy("id", "key").agg(F.collect_list(F.struct("first", "lines", "hash")).alias("places"))
+    places = found.join(repeated.hint("merge"), "hash").groupBy("id", "key").agg(F.collect_list(F.struct("first", "lines", "hash")).alias("places"))
 
     at = [rows["id"].eqNullSafe(places["id"]), rows["key"] == places["key"]]
-    cut = rows.join(places, at).select(rows["id"], rows["key"], "text", "places")
+    cut = rows.join(places.hint("merge"), at).select(rows["id"], rows["key"], "text", "places")
     cut = written(cut.mapInArrow(_cut_out, f"id {id_type}, key long, first int, lines int, hash long, chunk string"), "repeated")
     place = F.struct("id", "key", "first")
     least = cut.groupBy("hash").agg(F.min(place).alias("keep"))
-    kept = cut.join(least, "hash").filter(place.eqNullSafe(F.col("keep"))).select("hash", F.col("chunk").alias("kept"), "keep").dropDuplicates(["hash"])
-    gone = cut.join(kept, "hash").filter((F.col("chunk") == F.col("kept")) & ~place.eqNullSafe(F.col("keep")))
+    kept = cut.join(least.hint("merge"), "hash").filter(place.eqNullSafe(F.col("keep"))).select("hash", F.col("chunk").alias("kept"), "keep").dropDuplicates(["hash"])
+    gone = cut.join(kept.hint("merge"), "hash").filter((F.col("chunk") == F.col("kept")) & ~place.eqNullSafe(F.col("keep")))
     gone = written(gone.groupBy("id", "key").agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone").withColumnsRenamed({"id": "__id", "key": "__key", "gone": "__gone"})
-    out = docs.withColumn("__sum", key).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sum") == F.col("__key")), "left")
+    out = docs.withColumn("__sum", key).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sum") == F.col("__key")), "left")
     text, has = F.col(text_col), F.col("__gone").isNotNull()
     out = out.withColumn("__new", F.when(has, _without.asNondeterministic()(F.when(has, text), F.col("__gone"))).otherwise(text))
     lines = F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long")
