@@ -132,7 +132,7 @@ def group_fold(df: DataFrame, keys: list[str], values: list[str], order: str) ->
     """One row for each key, each value column a list in the given order, nulls kept."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), *values)))
     out = df.groupBy(*keys).agg(rows.alias("__rows"))
-    return out.select(*keys, *(F.transform("__rows", lambda x, v=v: x[v]).alias(v) for v in values))
+    return out.select(*keys, *(F.col("__rows")[v].alias(v) for v in values))
 
 
 def unfold(df: DataFrame, lists: list[str], number: str = "n", default=0) -> DataFrame:

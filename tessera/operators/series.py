@@ -249,12 +249,13 @@ def spline(series: Series, asked: DataFrame, at: str, name: str = "value") -> Da
 
     if not series.by:
         raise ValueError("name the series key; a constant column will do for a single series")
+    order, value = series.order, series.value
 
     def fit(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         number = lambda s: pd.to_datetime(s).astype("int64").to_numpy() / 86_400e9 if s.dtype == object else s.to_numpy(dtype=float)
-        known = known.dropna(subset=[series.value]).drop_duplicates(series.order).sort_values(series.order)
+        known = known.dropna(subset=[value]).drop_duplicates(order).sort_values(order)
         out = wanted.copy()
-        out[name] = spline_values(number(known[series.order]), known[series.value].to_numpy(dtype=float), number(wanted[at])) if len(known) else np.nan
+        out[name] = spline_values(number(known[order]), known[value].to_numpy(dtype=float), number(wanted[at])) if len(known) else np.nan
         return out
 
     parts = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
