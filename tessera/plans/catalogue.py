@@ -185,7 +185,7 @@ def group_count_uniq(t):
     return rows.groupBy("o_orderpriority").agg(big(numeric.count_uniq("k")).alias("n_uniq"))
 
 
-@query("SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n, l_partkey, l_suppkey FROM lineitem")
+@query("SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n, l_partkey, l_suppkey FROM lineitem")
 def group_fold_unfold(t):
     folded = relational.group_fold(t("lineitem"), ["l_orderkey"], ["l_partkey", "l_suppkey"], "l_linenumber")
     return big_column(relational.unfold(folded, ["l_partkey", "l_suppkey"]), "n")
