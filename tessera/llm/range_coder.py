@@ -4,14 +4,13 @@ A block's ids are dealt to L lanes of consecutive ids. All lanes code one id at
 its own; the model is the block's, is empty when the block begins, and learns from all lanes' ids after each step. So
 encoder and decoder see the same model, and one numpy call serves L ids.
 
-An id is coded by up to three decisions. Order 2 (the two ids before) and order 1 (the id before) each name one likely
-id. First: is it the one that order 2 names? Its probability is mixed, by weights that learn, from how often such a
-guess of order 2 held, from order 1 (its confidence, and whether it names the same id) and from order 0 (how frequent
-the id is). Then, if not: is it the one that order 1 names? If not: the id itself, by the adaptive counts of order 0.
-All arithmetic is on integers, so that blocks decode alike on every machine.
+Three models predict an id. Order 2 (the two ids before) and order 1 (the id before) each name one likely id; order 0
+spreads the rest over the vocabulary by the counts so far. Their predictions are mixed: the id's share of the range is
+the sum of what each order gives it, by weights that the block learns for each pair of trusts (how often the guesses of
+the two contexts held lately) and for whether the guesses agree. All arithmetic is on integers, so that blocks decode
+alike on every machine. Order 0 is counted anew after 1, 2, 4, 8 and then each 8 steps.
 """
 
-import math
 import struct
 import zlib
 
@@ -19,147 +18,152 @@ import numpy as np
 
 BLOCK_IDS = 1 << 20
 LANES = 4096
-_BITS, _M48, _LOW28 = 48, np.uint64((1 << 48) - 1), np.uint64((1 << 28) - 1)
-_STEP, _MOST = 24, 1 << 21
-#: Logistic tables of 12-bit probabilities.
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2048, 2048)], np.int64)
-_STRETCH = np.array([round(256 * math.log(max(p, 0.5) / (4096 - p))) for p in range(4096)], np.int64)
+#: Bits of the mixing weights, and those of order 0 for vocabularies up to 2^18 ids (larger ones take two bits over their size).
+_W, _ORDER0, _EVERY = 10, 20, 8
+_MOST_VOCABULARY = 1 << 20
+_LOW32 = np.uint64(0xFFFFFFFF)
+_32 = np.uint64(32)
 _HEAD = struct.Struct("<4sIIII")
-MAGIC = b"CMB1"
+MAGIC = b"CMB2"
 
 
 class _Model:
-    """Counts of order 0, guesses of orders 1 and 2, and the mixers."""
+    """Counts of order 0, guesses of orders 1 and 2 with their trust (0: none yet, to 15), and the mixing weights."""
 
     def __init__(self, vocabulary: int):
-        self.freq = np.ones(vocabulary, np.int64)
-        self.total = vocabulary
-        self.cum = np.zeros(vocabulary + 1, np.int64)
-        self._sum()
-        self.guess = (np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64))
-        self.trust = (np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64))
-        #: Probability (16 bits) that a guess holds: by its order's trust; by order 1 beside order 2; by the frequency of order 0.
-        self.p2, self.p1of2, self.p0of2 = np.full(16, 1 << 14), np.full(64, 1 << 14), np.full(32, 1 << 14)
-        self.p1, self.p0of1 = np.full(16, 1 << 14), np.full(32, 1 << 14)
-        self.w2, self.w1 = np.full(3, 1 << 15), np.full(2, 1 << 15)
-
-    def _sum(self) -> None:
-        np.cumsum(self.freq, out=self.cum[1:])
-        self.total = int(self.cum[-1])
-
-    def contexts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return b & 0xFFFF, (a * 0x9E3779B1 + b * 0x85EBCA6B >> 7) & 0x3FFFF
-
-    def _rarity(self, ids: np.ndarray) -> np.ndarray:
-        """0 to 31: the logarithm of an id's share, in half steps."""
-        return np.minimum(31, np.frexp(self.total / self.freq[ids])[1])
+        if vocabulary > _MOST_VOCABULARY:
+            raise ValueError(f"vocabularies of over {_MOST_VOCABULARY} ids are not supported")
+        self.bits = max(_ORDER0, min(_ORDER0 + 2, (vocabulary - 1).bit_length() + 2))
+        self.counts, self.steps, self.held = np.zeros(vocabulary, np.int64), 0, []
+        self.memory = (np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64))
+        trust1, trust2, same = np.meshgrid(np.arange(16), np.arange(16), np.arange(2), indexing="ij")
+        #: A weight is 0 where its order has no guess, or order 1 names what order 2 names.
+        self.may = np.stack([(trust2 > 0).ravel(), ((trust1 > 0) & ~((same > 0) & (trust2 > 0))).ravel()]).astype(np.int64)
+        self.hits, self.seen = np.zeros((2, 512), np.int64), np.zeros(512, np.int64)
+        self._weigh()
+        self._count()
+
+    def _count(self) -> None:
+        """Shares of order 0: at least 1 for every id, 2^bits together; the commonest id takes what rounding leaves."""
+        for ids in self.held:
+            self.counts += np.bincount(ids, minlength=len(self.counts))
+        self.held = []
+        room, n = (1 << self.bits) - len(self.counts), int(self.counts.sum())
+        size = 1 + (self.counts * room // n if n else np.zeros(len(self.counts), np.int64))
+        size[int(self.counts.argmax())] += (1 << self.bits) - int(size.sum())
+        start = np.cumsum(size) - size
+        self.size, self.start = size, start
+        self.at = None
+
+    def id_at(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose shares of order 0 hold the places."""
+        if self.at is None:
+            self.at = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        return self.at[place]
+
+    def _weigh(self) -> None:
+        share = ((self.hits * 2 + 1) << _W) // (2 * self.seen + 3) * self.may
+        over = np.maximum(share.sum(0), 1)
+        most = (1 << _W) - 8
+        share = np.where(over > most, share * most // over, share)
+        self.until2, self.until1 = share[0], share.sum(0)
+        self.rest = (1 << _W) - self.until1
 
     @staticmethod
-    def _mixed(parts: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = np.stack([_STRETCH[p[at] >> 4] for p, at in parts])
-        return s, _SQUASH[np.clip((w @ s >> 16) + 2048, 0, 4095)]
+    def contexts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return b & 0xFFFF, (a * 0x9E3779B1 + b * 0x85EBCA6B >> 7) & 0x3FFFF
 
-    @staticmethod
-    def _learn(parts: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray, s: np.ndarray, p: np.ndarray, hit: np.ndarray) -> None:
-        err = (hit.astype(np.int64) << 12) - p
-        w += (s @ err) // (len(err) * 64)
-        np.clip(w, -(1 << 18), 1 << 18, out=w)
-        for q, at in parts:
-            n = np.bincount(at, minlength=len(q))
-            hits = np.bincount(at[hit], minlength=len(q))
-            rate = np.minimum(n, 255)
-            q += np.where(n > 0, ((hits << 16) // np.maximum(n, 1) - q) * rate // 256, 0)
-            np.clip(q, 64, 65472, out=q)
-
-    def parts2(self, g2, t2, g1, t1):
-        return [(self.p2, t2), (self.p1of2, t1 + 16 * (g1 == g2) + 32 * (t1 > 0)), (self.p0of2, self._rarity(g2))]
-
-    def parts1(self, g1, t1):
-        return [(self.p1, t1), (self.p0of1, self._rarity(g1))]
-
-    def seen(self, c1: np.ndarray, c2: np.ndarray, ids: np.ndarray) -> None:
-        for guess, trust, c in ((self.guess[0], self.trust[0], c1), (self.guess[1], self.trust[1], c2)):
-            same = guess[c] == ids
-            t = trust[c]
-            trust[c] = np.where(same, np.minimum(t + 1, 15), np.where(t > 1, t >> 1, 1))
-            weak = c[~same & (t <= 1)]
-            guess[weak] = ids[~same & (t <= 1)]
-        self.freq += _STEP * np.bincount(ids, minlength=len(self.freq))
-        self._sum()
-        if self.total > _MOST:
-            self.freq = (self.freq >> 1) | 1
-            self._sum()
+    def predict(self, c1: np.ndarray, c2: np.ndarray):
+        """Guesses of orders 1 and 2, their trusts, and the number of the weights in force."""
+        m1, m2 = self.memory[0][c1], self.memory[1][c2]
+        g1, g2, t1, t2 = m1 >> 4, m2 >> 4, m1 & 15, m2 & 15
+        return g1, g2, t1, t2, (t1 << 5) + (t2 << 1) + (g1 == g2)
+
+    def learn(self, c1: np.ndarray, c2: np.ndarray, ids: np.ndarray, predicted) -> None:
+        g1, g2, t1, t2, w = predicted
+        same1, same2 = g1 == ids, g2 == ids
+        self.seen += np.bincount(w, minlength=512)
+        self.hits[0] += np.bincount(w[same2], minlength=512)
+        self.hits[1] += np.bincount(w[same1], minlength=512)
+        for memory, c, g, t, same in ((self.memory[0], c1, g1, t1, same1), (self.memory[1], c2, g2, t2, same2)):
+            memory[c] = np.where(same, g << 4 | np.minimum(t + 1, 15), np.where(t > 1, g << 4 | t >> 1, ids << 4 | 1))
+        old = self.seen > 1 << 16
+        self.seen[old] >>= 1
+        self.hits[:, old] >>= 1
+        self._weigh()
+        self.held.append(ids)
+        self.steps += 1
+        if self.steps % _EVERY == 0 or self.steps in (1, 2, 4):
+            self._count()
 
 
 class _Writer:
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _M48)
-        self.lanes, self.words = [], []
-
-    def code(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, total) -> None:
-        low, rng = self.low[at], self.range[at]
-        r = rng // np.uint64(total)
-        low += r * start.astype(np.uint64)
-        rng = r * size.astype(np.uint64)
-        todo = np.arange(len(at))
-        while True:
-            x, y = low[todo], rng[todo]
-            same = (x ^ (x + y)) >> np.uint64(32) == 0
-            few = y <= _LOW28
-            go = same | few
-            if not go.any():
-                break
-            todo, x, y, same = todo[go], x[go], y[go], same[go]
-            y = np.where(same, y, (~x + np.uint64(1)) & _LOW28)
-            self.lanes.append(at[todo])
-            self.words.append((x >> np.uint64(32)).astype("<u2"))
-            low[todo], rng[todo] = (x << np.uint64(16)) & _M48, y << np.uint64(16)
-        self.low[at], self.range[at] = low, rng
+    """A range coder for each lane: 64-bit low and range, words of 32 bits, carries added when all is coded."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.words, self.n = np.zeros((steps + 2, lanes), np.uint64), np.ones(lanes, np.int64)
+
+    def code(self, m: int, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        """Codes a share of 2^bits on each of the first m lanes."""
+        r = self.range[:m] >> np.uint64(bits)
+        before = self.low[:m]
+        low = before + r * start.astype(np.uint64)
+        over = np.flatnonzero(low < before)
+        if len(over):
+            self.words[self.n[over] - 1, over] += np.uint64(1)
+        self.low[:m] = low
+        self.range[:m] = r * size.astype(np.uint64)
+        full = np.flatnonzero(self.range[:m] <= _LOW32)
+        if len(full):
+            self.words[self.n[full], full] = self.low[full] >> _32
+            self.n[full] += 1
+            self.low[full] <<= _32
+            self.range[full] <<= _32
 
     def done(self) -> tuple[np.ndarray, np.ndarray]:
         """The lanes' words, lane after lane, and how many each has."""
-        n = len(self.low)
-        last = (self.low + _LOW28) & ~_LOW28
-        for shift in (32, 16):
-            self.lanes.append(np.arange(n))
-            self.words.append(((last >> np.uint64(shift)) & np.uint64(0xFFFF)).astype("<u2"))
-        lanes, words = np.concatenate(self.lanes), np.concatenate(self.words)
-        return words[np.argsort(lanes, kind="stable")], np.bincount(lanes, minlength=n)
+        lanes = np.arange(len(self.low))
+        # The upper end, cut to 32 bits, lies in the range and needs one word.
+        last = self.low + self.range - np.uint64(1)
+        self.words[self.n - 1, lanes] += (last < self.low).astype(np.uint64)
+        words = self.words
+        words[self.n, lanes] = last >> _32
+        counts = self.n.copy()
+        for k in range(int(self.n.max()), 0, -1):
+            words[k - 1] += words[k] >> _32
+            words[k] &= _LOW32
+        inside = np.arange(len(words))[:, None]
+        return words.T[((inside >= 1) & (inside <= counts)).T].astype("<u4"), counts
 
 
 class _Reader:
     def __init__(self, words: np.ndarray, counts: np.ndarray):
-        self.words = np.concatenate([words, np.zeros(4, "<u2")]).astype(np.uint64)
+        self.words = np.concatenate([words, np.zeros(1, "<u4")]).astype(np.uint64)
         self.ends = np.cumsum(counts)
         self.at = self.ends - counts
-        n = len(counts)
-        self.low, self.range, self.value = np.zeros(n, np.uint64), np.full(n, _M48), np.zeros(n, np.uint64)
-        for _ in range(3):
-            self.value = self.value << np.uint64(16) | self._next(np.arange(n))
+        self.range = np.full(len(counts), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        every = np.arange(len(counts))
+        self.value = self._next(every) << _32
+        self.value |= self._next(every)
 
     def _next(self, lanes: np.ndarray) -> np.ndarray:
+        """Each lane's next word; zeros behind the last."""
         at = self.at[lanes]
         self.at[lanes] = at + 1
         return np.where(at < self.ends[lanes], self.words[np.minimum(at, len(self.words) - 1)], np.uint64(0))
 
-    def place(self, at: np.ndarray, total) -> np.ndarray:
-        self.r = self.range[at] // np.uint64(total)
-        return np.minimum((self.value[at] - self.low[at]) // self.r, np.uint64(total - 1)).astype(np.int64)
-
-    def took(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low, rng = self.low[at] + self.r * start.astype(np.uint64), self.r * size.astype(np.uint64)
-        todo, value = np.arange(len(at)), self.value[at]
-        while True:
-            x, y = low[todo], rng[todo]
-            same = (x ^ (x + y)) >> np.uint64(32) == 0
-            go = same | (y <= _LOW28)
-            if not go.any():
-                break
-            todo, x, y, same = todo[go], x[go], y[go], same[go]
-            y = np.where(same, y, (~x + np.uint64(1)) & _LOW28)
-            value[todo] = ((value[todo] << np.uint64(16)) & _M48) | self._next(at[todo])
-            low[todo], rng[todo] = (x << np.uint64(16)) & _M48, y << np.uint64(16)
-        self.low[at], self.range[at], self.value[at] = low, rng, value
+    def place(self, m: int, bits: int) -> np.ndarray:
+        self.r = self.range[:m] >> np.uint64(bits)
+        return np.minimum(self.value[:m] // self.r, np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def took(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
+        self.value[:m] -= self.r * start.astype(np.uint64)
+        self.range[:m] = self.r * size.astype(np.uint64)
+        full = np.flatnonzero(self.range[:m] <= _LOW32)
+        if len(full):
+            self.value[full] = self.value[full] << _32 | self._next(full)
+            self.range[full] <<= _32
 
 
 def _shape(n: int) -> tuple[int, int, int]:
@@ -169,30 +173,9 @@ def _shape(n: int) -> tuple[int, int, int]:
     return lanes, steps, n - lanes * (steps - 1)
 
 
-def _decide(model: _Model, c1: np.ndarray, c2: np.ndarray, coder, choose):
-    """Codes one id on each lane. choose(kind, lanes, guess or None, probability) codes a decision and gives the hits, or the ids."""
-    n = len(c1)
-    g1, t1, g2, t2 = model.guess[0][c1], model.trust[0][c1], model.guess[1][c2], model.trust[1][c2]
-    out, open_ = np.full(n, -1, np.int64), np.ones(n, bool)
-    at = np.flatnonzero(t2 > 0)
-    if len(at):
-        parts = model.parts2(g2[at], t2[at], g1[at], t1[at])
-        s, p = model._mixed(parts, model.w2)
-        hit = choose(at, g2[at], p)
-        model._learn(parts, model.w2, s, p, hit)
-        out[at[hit]], open_[at[hit]] = g2[at[hit]], False
-    at = np.flatnonzero(open_ & (t1 > 0) & ~((t2 > 0) & (g1 == g2)))
-    if len(at):
-        parts = model.parts1(g1[at], t1[at])
-        s, p = model._mixed(parts, model.w1)
-        hit = choose(at, g1[at], p)
-        model._learn(parts, model.w1, s, p, hit)
-        out[at[hit]], open_[at[hit]] = g1[at[hit]], False
-    at = np.flatnonzero(open_)
-    if len(at):
-        out[at] = choose(at, None, None)
-    model.seen(c1, c2, out)
-    return out
+def _starts(lanes: int, steps: int, last: int) -> np.ndarray:
+    """Where each lane's ids begin."""
+    return np.minimum(np.arange(lanes), last) * steps + np.maximum(np.arange(lanes) - last, 0) * (steps - 1)
 
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -202,26 +185,22 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     body, lanes = b"", 0
     if n:
         lanes, steps, last = _shape(n)
-        grid = np.zeros(lanes * steps, np.int64)
-        starts = np.minimum(np.arange(lanes), last) * steps + np.maximum(np.arange(lanes) - last, 0) * (steps - 1)
-        model, coder = _Model(vocabulary), _Writer(lanes)
+        model, coder, starts, wide = _Model(vocabulary), _Writer(lanes, steps), _starts(lanes, steps, last), ids.astype(np.int64)
         a = b = np.zeros(lanes, np.int64)
-        grid = ids.astype(np.int64)
         for t in range(steps):
             m = lanes if t < steps - 1 else last
-            now = grid[starts[:m] + t]
-
-            def choose(at, guess, p):
-                x = now[at]
-                if guess is None:
-                    coder.code(at, model.cum[x], model.freq[x], model.total)
-                    return x
-                hit = x == guess
-                coder.code(at, np.where(hit, 0, p), np.where(hit, p, 4096 - p), 4096)
-                return hit
-
+            now = wide[starts[:m] + t]
             c1, c2 = model.contexts(a[:m], b[:m])
-            _decide(model, c1, c2, coder, choose)
+            predicted = model.predict(c1, c2)
+            g1, g2, _, _, w = predicted
+            until2, until1 = model.until2[w], model.until1[w]
+            by2 = (g2 == now) & (until2 > 0)
+            by1 = (g1 == now) & (until1 > until2) & ~by2
+            rest = model.rest[w]
+            start = np.where(by2, 0, np.where(by1, until2 << model.bits, (until1 << model.bits) + rest * model.start[now]))
+            size = np.where(by2, until2 << model.bits, np.where(by1, (until1 - until2) << model.bits, rest * model.size[now]))
+            coder.code(m, start, size, model.bits + _W)
+            model.learn(c1, c2, now, predicted)
             a, b = b[:m], now
         words, counts = coder.done()
         body = counts.astype("<u4").tobytes() + words.tobytes()
@@ -237,24 +216,23 @@ def decode_block(data: bytes, vocabulary: int) -> np.ndarray:
     out = np.zeros(n, np.int64)
     if n:
         _, steps, last = _shape(n)
-        starts = np.minimum(np.arange(lanes), last) * steps + np.maximum(np.arange(lanes) - last, 0) * (steps - 1)
-        counts = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-        coder, model = _Reader(np.frombuffer(body, "<u2", offset=4 * lanes), counts), _Model(vocabulary)
+        model, starts = _Model(vocabulary), _starts(lanes, steps, last)
+        coder = _Reader(np.frombuffer(body, "<u4", offset=4 * lanes), np.frombuffer(body, "<u4", lanes).astype(np.int64))
         a = b = np.zeros(lanes, np.int64)
-
-        def choose(at, guess, p):
-            if guess is None:
-                x = np.searchsorted(model.cum, coder.place(at, model.total), side="right") - 1
-                coder.took(at, model.cum[x], model.freq[x])
-                return x
-            hit = coder.place(at, 4096) < p
-            coder.took(at, np.where(hit, 0, p), np.where(hit, p, 4096 - p))
-            return hit
-
         for t in range(steps):
             m = lanes if t < steps - 1 else last
             c1, c2 = model.contexts(a[:m], b[:m])
-            now = _decide(model, c1, c2, coder, choose)
+            predicted = model.predict(c1, c2)
+            g1, g2, _, _, w = predicted
+            until2, until1, rest = model.until2[w], model.until1[w], model.rest[w]
+            place, end2, end1 = coder.place(m, model.bits + _W), until2 << model.bits, until1 << model.bits
+            by2, by1 = place < end2, place < end1
+            x = model.id_at(np.where(by1, 0, place - end1) // rest)
+            now = np.where(by2, g2, np.where(by1, g1, x))
+            start = np.where(by2, 0, np.where(by1, end2, end1 + rest * model.start[x]))
+            size = np.where(by2, end2, np.where(by1, end1 - end2, rest * model.size[x]))
+            coder.took(m, start, size)
+            model.learn(c1, c2, now, predicted)
             out[starts[:m] + t] = now
             a, b = b[:m], now
     ids = out.astype("<u4")
