@@ -11,6 +11,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters that every version of the Unicode tables calls letters.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -22,19 +24,19 @@ _PARTS = re.compile(rf"([ \n]?[{_LETTER}]+)([,.]+)")
 _SELF = "\r"
 
 
-def byte_chunks(text: str) -> list[str]:
-    """Chunks without their leading space; _SELF before those that have none."""
-    if not text:
-        return []
-    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text):
-        return [_SELF + c for c in _RARE_CUTS.split(text)]
-    out = text.replace("\n", " \n").split(" ")
-    out[0] = _SELF + out[0]
-    return out
+def _byte_spaced(text: str) -> str | None:
+    """The text with its chunks between single spaces, _SELF before the first; None if it must be cut by _RARE_CUTS."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text):
+        return None
+    return _SELF + text.replace("\n", " \n")
 
 
-def word_chunks(text: str) -> list[str]:
-    return [c for c in text.replace("\n", " ").split(" ") if c]
+def _byte_rare(text: str) -> list[str]:
+    return [_SELF + c for c in _RARE_CUTS.split(text)] if text else []
+
+
+def _word_spaced(text: str) -> str:
+    return text.replace("\n", " ")
 
 
 def _byte_text(chunk: str) -> str:
@@ -58,6 +60,37 @@ class _Index(dict):
         return n
 
 
+class _Ids:
+    """Ids of numbered chunks, one after the other, in arrays that grow."""
+
+    def __init__(self):
+        self.ids, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = self.n + len(sizes), self.used + len(flat)
+        if n > len(self.starts):
+            more = np.zeros(n + n // 2 - self.n, np.int64)
+            self.starts, self.lengths = np.concatenate([self.starts[: self.n], more]), np.concatenate([self.lengths[: self.n], more])
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(used + used // 2 - self.used, np.uint32)])
+        self.ids[self.used : used] = flat
+        self.starts[self.n : n], self.lengths[self.n : n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = n, used
+
+    def cut(self, n: int) -> None:
+        """Forgets all chunks from number n on."""
+        if n < self.n:
+            self.n, self.used = n, int(self.starts[n])
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the chunks, one after the other."""
+        sizes = self.lengths[numbers]
+        take = np.repeat(self.starts[numbers] - (np.cumsum(sizes) - sizes), sizes)
+        take += np.arange(len(take))
+        return self.ids[take]
+
+
 class Encoder:
     """Encodes lists of texts with a tokenizers file.
 
@@ -70,24 +103,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.chunks, self.text_of = (word_chunks, _same) if self.library.normalizer is not None else (byte_chunks, _byte_text)
+        self.spaced, self.text_of = (_word_spaced, _same) if self.library.normalizer is not None else (_byte_spaced, _byte_text)
         self.between = next(((n, t.content) for n, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
         self.keep = keep
         self._clear()
 
     def _clear(self) -> None:
         self.index, self.parts = _Index(), _Index()
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        #: Of each chunk the numbers of its two parts; of each part the place of its ids. Part 0 is empty.
-        self.pairs = np.zeros((1 << 14, 2), np.int64)
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        #: Chunks and their two parts: the places of their ids. Part 0 is empty.
+        self.chunk_ids, self.part_ids = _Ids(), _Ids()
         self.parts[""] = 0
+        self.part_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each chunk of all texts, and the number of chunks of each text."""
-        cut = [self.chunks(t) for t in texts]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        """Number of each chunk of all texts, and the number of chunks of each text.
+
+        Arrow cuts the texts and finds the distinct chunks; each of these is looked up once."""
+        spaced = list(map(self.spaced, texts))
+        plain = [t for t in spaced if t is not None]
+        counts, numbers = np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
+        is_plain = np.fromiter((t is not None for t in spaced), bool, len(spaced))
+        if plain:
+            pieces = pc.split_pattern(pa.array([" ".join(plain)], pa.large_string()), " ").flatten()
+            n = np.fromiter((t.count(" ") for t in plain), np.int64, len(plain)) + 1
+            some = pc.greater(pc.binary_length(pieces), 0)
+            if not pc.all(some).as_py():
+                n = np.add.reduceat(some.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(n) - n)
+                pieces = pieces.filter(some)
+            found = pieces.dictionary_encode()
+            distinct = np.fromiter(map(self.index.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(found.dictionary))
+            counts[is_plain], numbers = n, distinct[found.indices.to_numpy()]
+        if len(plain) < len(texts):
+            cut = [_byte_rare(t) for t, s in zip(texts, spaced) if s is None]
+            counts[~is_plain] = np.fromiter(map(len, cut), np.int64, len(cut))
+            at, whole = np.repeat(is_plain, counts), np.zeros(int(counts.sum()), np.int64)
+            whole[at] = numbers
+            whole[~at] = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, len(whole) - len(numbers))
+            numbers = whole
         if self.index.new:
             self._learn(self.index.new)
         return numbers, counts
@@ -100,6 +152,7 @@ class Encoder:
             else:
                 for c in new:
                     del self.index[c]
+                self.chunk_ids.cut(len(self.index))
 
     def _library_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after the other, and their counts. Texts go to the library a hundred at a time, a special token between."""
@@ -113,31 +166,18 @@ class Encoder:
         return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
 
     def _learn(self, new: list[str]) -> None:
-        first = len(self.index) - len(new)
-        if len(self.index) > len(self.pairs):
-            self.pairs = np.concatenate([self.pairs, np.zeros((2 * len(self.index) - len(self.pairs), 2), np.int64)])
         number, match = self.parts.__getitem__, _PARTS.fullmatch
         cut = [m.groups() if (m := match(t)) else (t, "") for t in map(self.text_of, new)]
-        self.pairs[first : first + len(new)] = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, 2 * len(cut)).reshape(-1, 2)
-        if not (todo := self.parts.new):
-            return
-        self.parts.new = []
-        first = len(self.parts) - len(todo)
-        if len(self.parts) > len(self.starts):
-            more = np.zeros(2 * len(self.parts) - len(self.starts), np.int64)
-            self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
-        flat, sizes = self._library_ids(todo)
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[first : first + len(todo)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[first : first + len(todo)] = sizes
-        self.used += len(flat)
+        pairs = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, 2 * len(cut))
+        if todo := self.parts.new:
+            self.parts.new = []
+            self.part_ids.add(*self._library_ids(todo))
+        self.chunk_ids.add(self.part_ids.of(pairs), self.part_ids.lengths[pairs].reshape(-1, 2).sum(1))
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """The number of ids of each text."""
         numbers, chunks = self._look_up(texts)
-        ends = np.concatenate([[0], np.cumsum(self.lengths[self.pairs[numbers]].sum(1))])
+        ends = np.concatenate([[0], np.cumsum(self.chunk_ids.lengths[numbers])])
         edges = np.concatenate([[0], np.cumsum(chunks)])
         self._forget(len(numbers))
         return ends[edges[1:]] - ends[edges[:-1]]
@@ -145,17 +185,14 @@ class Encoder:
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each followed by end_id, and each text's count (with that id)."""
         numbers, chunks = self._look_up(texts)
-        parts = self.pairs[numbers].ravel()
-        sizes = self.lengths[parts]
-        edges = np.concatenate([[0], np.cumsum(2 * chunks)])
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.chunk_ids.of(numbers)
+        ends = np.concatenate([[0], np.cumsum(self.chunk_ids.lengths[numbers])])
+        edges = np.concatenate([[0], np.cumsum(chunks)])
         counts = ends[edges[1:]] - ends[edges[:-1]]
-        take = np.repeat(self.starts[parts] - ends[:-1], sizes)
-        take += np.arange(len(take))
-        out = np.full(len(take) + len(texts), end_id, np.uint32)
+        out = np.full(len(flat) + len(texts), end_id, np.uint32)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(counts + 1) - 1] = False
-        out[keep] = self.ids[take]
+        out[keep] = flat
         self._forget(len(numbers))
         return out, counts + 1
 
