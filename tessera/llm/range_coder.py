@@ -8,7 +8,8 @@ Three models predict an id. Order 2 (the two ids before) and order 1 (the id bef
 spreads the rest over the vocabulary by the counts so far. Their predictions are mixed: the id's share of the range is
 the sum of what each order gives it, by weights that the block learns for each pair of trusts (how often the guesses of
 the two contexts held lately) and for whether the guesses agree. All arithmetic is on integers, so that blocks decode
-alike on every machine. Order 0 is counted anew after 1, 2, 4, 8 and then each 8 steps.
+alike on every machine. Order 0 is counted anew after 1, 2, 4, 8
+and then each 16 steps, the weights after each of the first 16 and then each 4.
 """
 
 import struct
@@ -19,7 +20,9 @@ import numpy as np
 BLOCK_IDS = 1 << 20
 LANES = 4096
 #: Bits of the mixing weights, and those of order 0 for vocabularies up to 2^18 ids (larger ones take two bits over their size).
-_W, _ORDER0, _EVERY = 10, 20, 8
+_W, _ORDER0, _EVERY = 10, 20, 16
+#: The next trust after a guess that failed, then after one that held.
+_TRUST = np.array([1, 1, *(t >> 1 for t in range(2, 16)), *(min(t + 1, 15) for t in range(16))], np.int32)
 _MOST_VOCABULARY = 1 << 20
 _LOW32 = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -35,11 +38,11 @@ class _Model:
             raise ValueError(f"vocabularies of over {_MOST_VOCABULARY} ids are not supported")
         self.bits = max(_ORDER0, min(_ORDER0 + 2, (vocabulary - 1).bit_length() + 2))
         self.counts, self.steps, self.held = np.zeros(vocabulary, np.int64), 0, []
-        self.memory = (np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64))
+        self.memory = (np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32))
         trust1, trust2, same = np.meshgrid(np.arange(16), np.arange(16), np.arange(2), indexing="ij")
         #: A weight is 0 where its order has no guess, or order 1 names what order 2 names.
         self.may = np.stack([(trust2 > 0).ravel(), ((trust1 > 0) & ~((same > 0) & (trust2 > 0))).ravel()]).astype(np.int64)
-        self.hits, self.seen = np.zeros((2, 512), np.int64), np.zeros(512, np.int64)
+        self.hits, self.seen, self.tally = np.zeros((2, 512), np.int64), np.zeros(512, np.int64), np.zeros(2048, np.int64)
         self._weigh()
         self._count()
 
@@ -62,6 +65,13 @@ class _Model:
         return self.at[place]
 
     def _weigh(self) -> None:
+        tally, self.tally = self.tally.reshape(512, 2, 2), np.zeros(2048, np.int64)
+        self.seen += tally.sum((1, 2))
+        self.hits[0] += tally[:, 1].sum(1)
+        self.hits[1] += tally[:, :, 1].sum(1)
+        old = self.seen > 1 << 16
+        self.seen[old] >>= 1
+        self.hits[:, old] >>= 1
         share = ((self.hits * 2 + 1) << _W) // (2 * self.seen + 3) * self.may
         over = np.maximum(share.sum(0), 1)
         most = (1 << _W) - 8
@@ -71,7 +81,7 @@ class _Model:
 
     @staticmethod
     def contexts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return b & 0xFFFF, (a * 0x9E3779B1 + b * 0x85EBCA6B >> 7) & 0x3FFFF
+        return b & 0xFFFF, (a.view(np.uint32) * np.uint32(0x9E3779B1) + b.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(14)
 
     def predict(self, c1: np.ndarray, c2: np.ndarray):
         """Guesses of orders 1 and 2, their trusts, and the number of the weights in force."""
@@ -82,18 +92,14 @@ class _Model:
     def learn(self, c1: np.ndarray, c2: np.ndarray, ids: np.ndarray, predicted) -> None:
         g1, g2, t1, t2, w = predicted
         same1, same2 = g1 == ids, g2 == ids
-        self.seen += np.bincount(w, minlength=512)
-        self.hits[0] += np.bincount(w[same2], minlength=512)
-        self.hits[1] += np.bincount(w[same1], minlength=512)
+        self.tally += np.bincount(w * 4 + same2 * 2 + same1, minlength=2048)
         for memory, c, g, t, same in ((self.memory[0], c1, g1, t1, same1), (self.memory[1], c2, g2, t2, same2)):
-            memory[c] = np.where(same, g << 4 | np.minimum(t + 1, 15), np.where(t > 1, g << 4 | t >> 1, ids << 4 | 1))
-        old = self.seen > 1 << 16
-        self.seen[old] >>= 1
-        self.hits[:, old] >>= 1
-        self._weigh()
+            memory[c] = np.where(same | (t > 1), g, ids) << 4 | _TRUST[t + 16 * same]
         self.held.append(ids)
         self.steps += 1
-        if self.steps % _EVERY == 0 or self.steps in (1, 2, 4):
+        if self.steps % 4 == 0 or self.steps < 16:
+            self._weigh()
+        if self.steps % _EVERY == 0 or self.steps in (1, 2, 4, 8):
             self._count()
 
 
@@ -185,8 +191,8 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     body, lanes = b"", 0
     if n:
         lanes, steps, last = _shape(n)
-        model, coder, starts, wide = _Model(vocabulary), _Writer(lanes, steps), _starts(lanes, steps, last), ids.astype(np.int64)
-        a = b = np.zeros(lanes, np.int64)
+        model, coder, starts, wide = _Model(vocabulary), _Writer(lanes, steps), _starts(lanes, steps, last), ids.astype(np.int32)
+        a = b = np.zeros(lanes, np.int32)
         for t in range(steps):
             m = lanes if t < steps - 1 else last
             now = wide[starts[:m] + t]
@@ -213,12 +219,12 @@ def decode_block(data: bytes, vocabulary: int) -> np.ndarray:
     body = memoryview(data)[_HEAD.size :]
     if magic != MAGIC or zlib.crc32(body) != body_crc:
         raise ValueError("a block is damaged")
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     if n:
         _, steps, last = _shape(n)
         model, starts = _Model(vocabulary), _starts(lanes, steps, last)
         coder = _Reader(np.frombuffer(body, "<u4", offset=4 * lanes), np.frombuffer(body, "<u4", lanes).astype(np.int64))
-        a = b = np.zeros(lanes, np.int64)
+        a = b = np.zeros(lanes, np.int32)
         for t in range(steps):
             m = lanes if t < steps - 1 else last
             c1, c2 = model.contexts(a[:m], b[:m])
@@ -227,7 +233,7 @@ def decode_block(data: bytes, vocabulary: int) -> np.ndarray:
             until2, until1, rest = model.until2[w], model.until1[w], model.rest[w]
             place, end2, end1 = coder.place(m, model.bits + _W), until2 << model.bits, until1 << model.bits
             by2, by1 = place < end2, place < end1
-            x = model.id_at(np.where(by1, 0, place - end1) // rest)
+            x = model.id_at(np.where(by1, 0, place - end1).astype(np.uint32) // rest.astype(np.uint32))
             now = np.where(by2, g2, np.where(by1, g1, x))
             start = np.where(by2, 0, np.where(by1, end2, end1 + rest * model.start[x]))
             size = np.where(by2, end2, np.where(by1, end1 - end2, rest * model.size[x]))
