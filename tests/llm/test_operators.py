@@ -101,6 +101,14 @@ def test_range_coder_round_trip(n):
                 decode_block(data[:-1] + bytes([data[-1] ^ 1]), 50257)
 
 
+@pytest.mark.parametrize("vocabulary", [1, 2, 300, 1 << 20])
+def test_range_coder_vocabularies(vocabulary):
+    for ids in (np.random.default_rng(1).integers(0, vocabulary, 5000), np.full(5000, vocabulary - 1)):
+        assert (decode_block(encode_block(ids.astype(np.uint32), vocabulary), vocabulary) == ids).all()
+    with pytest.raises(ValueError):
+        encode_block(np.zeros(1, np.uint32), (1 << 20) + 1)
+
+
 def test_repeated_ids_compress():
     ids = np.tile(np.arange(500), 200).astype(np.uint32)
     assert len(encode_block(ids, 50257)) < len(ids) // 2
