@@ -1,35 +1,17 @@
 """What the operators of this package share: the shared folder, written intermediate tables, and small Arrow helpers."""
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are handled in slices of about so many bytes, which bounds a task's memory whatever the rows' lengths.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new temporary one where that is unset (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/") if "://" in at or at.startswith("file:") else f"file://{at.rstrip('/')}"
+from tessera.shared import new_dir, shared_dir, written
 
+__all__ = ["SLICE_BYTES", "new_dir", "no_null", "partitions", "row_slices", "shared_dir", "text_slices", "written"]
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: the lineage ends there, and lost executors cost nothing before it."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Texts are handled in slices of about so many bytes, which bounds a task's memory whatever the rows' lengths.
+SLICE_BYTES = 4 << 20
 
 
 def partitions(spark: SparkSession) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.basic import equal, truthy
+from tessera.shared import written
 
 #: Right sides of up to so many bytes, by Spark's estimate, may be broadcast when a caller asks for a map-side join.
 BROADCAST_BYTES = 64 << 20
@@ -73,16 +74,19 @@ def enumerate_rows(df: DataFrame, *order: str, field: str = "#", first: int = 0,
     """Adds a row number from `first` by the given order, within groups if `by` is given.
 
     Without groups the number is global and needs no single task: partitions are sorted by range, counted, and each adds
-    the counts before it.
+    the counts before it. The sorted rows are written to the shared folder with their partition and place as one column:
+    a plan that reads them twice could choose other ranges for the counts than for the rows.
     """
     if by:
         return df.withColumn(field, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1 + first)
     at, place = "__partition", "__place"
-    rows = df.orderBy(*order).withColumn(at, F.spark_partition_id())
-    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(at).orderBy(*order)))
+    # monotonically_increasing_id is the partition's number and, in the low 33 bits, the row's place in it.
+    rows = written(df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()), "sorted").withColumn(at, F.shiftright(place, 33))
     counts = rows.groupBy(at).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each partition
-    return rows.join(counts.select(at, before.alias("__before")), at).withColumn(field, F.col(place) + F.col("__before") - 1 + first).drop(at, place, "__before")
+    # Broadcast: one row for each partition, however many rows there are.
+    out = rows.join(F.broadcast(counts.select(at, before.alias("__before"))), at)
+    return out.withColumn(field, F.col(place).bitwiseAND((1 << 33) - 1) + F.col("__before") + first).select(*dict.fromkeys([*df.columns, field]))
 
 
 def _estimated_bytes(df: DataFrame) -> int:

@@ -111,6 +111,11 @@ def enumerate_orders(t):
     return big_column(relational.enumerate_rows(t("orders").select("o_orderkey"), "o_orderkey", field="n"), "n")
 
 
+@query("SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n FROM lineitem")
+def enumerate_lineitem(t):
+    return big_column(relational.enumerate_rows(t("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", field="n"), "n")
+
+
 def big_column(df, *names):
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
