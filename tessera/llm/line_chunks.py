@@ -2,12 +2,20 @@
 
 A text's lines are cut into chunks where a rolling hash over line hashes says so. The hash sees the last WINDOW lines
 alone, so an insertion moves no boundary but those beside it, and two texts that share a passage share its inner chunks.
-A line of LONG_WORDS words or more is a chunk by itself wherever it stands. Chunks that repeat, in one text or over the
-whole table, stay at their first place (smallest id, then place) and go from all others, once their bytes are compared.
+A line of LONG_WORDS words or more is a chunk by itself wherever it stands.
+
+A short passage is rarely a chunk of its own, so the shortest run of lines that reaches LONG_WORDS words from each first
+line on, and the one that reaches them up to each last line, count as chunks too. These cover every line of a passage of
+LONG_WORDS words or more, and no other: lines up to the end of its last forward run lie in forward runs, those behind it
+end a backward run that begins inside.
+
+Chunks that repeat, in one text or over the whole table, stay at their first place (smallest id, then place) and go from
+all others, once their bytes are compared.
 """
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +28,13 @@ from tessera.llm.common import no_null, row_slices, written
 WINDOW, DIVISOR, LEAST, MOST = 2, 2, 2, 64
 #: A repeated chunk counts from so many words on: below, several lines are chance, not a passage.
 CHUNK_WORDS, LONG_WORDS = 10, 50
-_MASK = (1 << 64) - 1
+_MASK, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
-def chunks(text: str) -> list[tuple[int, int]]:
-    """(first line, lines) of each chunk that can count: several lines, or one long line; CHUNK_WORDS words at least."""
-    lines = text.split("\n")
-    words = [len(x.split()) for x in lines] if len(text) > 40 else [0] * len(lines)
+def _defined(words: list[int], hashes: list[int]) -> list[tuple[int, int]]:
+    """(first line, lines) of each content-defined chunk that can count: several lines, or one long line; CHUNK_WORDS words at least."""
     out, first, before, count = [], 0, 0, 0
-    for i, line in enumerate(lines):
+    for i, h in enumerate(hashes):
         if words[i] >= LONG_WORDS:
             if i > first + 1 and count >= CHUNK_WORDS:
                 out.append((first, i - first))
@@ -36,33 +42,67 @@ def chunks(text: str) -> list[tuple[int, int]]:
             first, before, count = i + 1, 0, 0
             continue
         count += words[i]
-        h = xxh64_intdigest(line.encode("utf-8", "replace"))
         n = i + 1 - first
         # The rolling hash of the last two lines of a chunk.
-        if n >= MOST or n >= LEAST and ((before * 0x9E3779B97F4A7C15 + h & _MASK) >> 32) % DIVISOR == 0:
+        if n >= MOST or n >= LEAST and ((before * _FACTOR + h & _MASK) >> 32) % DIVISOR == 0:
             if count >= CHUNK_WORDS:
                 out.append((first, n))
             first, before, count = i + 1, 0, 0
         else:
             before = h
-    if len(lines) - first > 1 and count >= CHUNK_WORDS:
-        out.append((first, len(lines) - first))
+    if len(hashes) - first > 1 and count >= CHUNK_WORDS:
+        out.append((first, len(hashes) - first))
     return out
 
 
+def _places(lines: list[str], hashes: list[int]) -> list[tuple[int, int]]:
+    """(first line, lines) of content-defined chunks and shortest runs, each once, in order."""
+    words = [len(x.split()) for x in lines]
+    total = np.concatenate([[0], np.cumsum(words)])
+    if total[-1] < CHUNK_WORDS:
+        return []
+    found = set(_defined(words, hashes))
+    if total[-1] >= LONG_WORDS:
+        starts = np.flatnonzero(total[:-1] + LONG_WORDS <= total[-1])
+        found.update(zip(starts.tolist(), (np.searchsorted(total, total[starts] + LONG_WORDS) - starts).tolist(), strict=True))
+        ends = np.flatnonzero(total >= LONG_WORDS)  # each the place behind a last line
+        begins = np.searchsorted(total, total[ends] - LONG_WORDS, side="right") - 1
+        found.update(zip(begins.tolist(), (ends - begins).tolist(), strict=True))
+    return sorted(found)
+
+
+def _line_hashes(lines: list[str]) -> list[int]:
+    return [xxh64_intdigest(x.encode("utf-8", "replace")) for x in lines]
+
+
+def chunks(text: str) -> list[tuple[int, int]]:
+    """(first line, lines) of each chunk that can count, in order; chunks may overlap."""
+    lines = text.split("\n")
+    return _places(lines, _line_hashes(lines))
+
+
+def _run_hashes(hashes: list[int], places: list[tuple[int, int]]) -> list[int]:
+    """A hash of each run of lines: equal lines give equal hashes, wherever they stand."""
+    sums, powers = [0], [1]
+    for h in hashes:
+        sums.append(sums[-1] * _FACTOR + h & _MASK)
+        powers.append(powers[-1] * _FACTOR & _MASK)
+    # Mixed once more, as low bits of the sum see low bits of the lines' hashes alone.
+    return [xxh64_intdigest((sums[i + n] - sums[i] * powers[n] & _MASK).to_bytes(8, "little"), n) - (1 << 63) for i, n in places]
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key, text) to (id, key, first, lines, hash)."""
     for b in row_slices(batches, "text"):
         rows, at, n, h = [], [], [], []
         for i, text in enumerate(b.column(2).to_pylist()):
-            found = chunks(text)
-            if found:
-                lines = text.split("\n")
-                for first, size in found:
-                    rows.append(i)
-                    at.append(first)
-                    n.append(size)
-                    h.append(xxh64_intdigest("\n".join(lines[first : first + size]).encode("utf-8", "replace")) - (1 << 63))
+            lines = text.split("\n")
+            hashes = _line_hashes(lines)
+            if found := _places(lines, hashes):
+                rows += [i] * len(found)
+                at += [first for first, _ in found]
+                n += [size for _, size in found]
+                h += _run_hashes(hashes, found)
         take = pa.array(rows, pa.int32())
         yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], ["id", "key", "first", "lines", "hash"])
 
@@ -101,7 +141,8 @@ def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "dedup") -> DataFrame:
     """docs with a struct column of that name added: text (without the repeated chunks), n_lines and n_removed (lines).
 
-    Of chunks with equal bytes the first stays: smallest id (nulls first), then smallest text hash, then place. Rows with
+    Of chunks with equal bytes the first stays: smallest id (nulls first), then smallest text hash, then place. A line goes
+    if any chunk over it goes; an equal line of the same passage stands earlier then, and the earliest stays. Rows with
     equal id and equal text are one document here and get the same result. Null texts stay null, with 0 lines. All
     rows stay, texts that lose every line as empty ones. name must not be a column of docs; all its columns stay.
 
@@ -131,5 +172,8 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text, has = F.col(text_col), F.col("__gone").isNotNull()
     out = out.withColumn("__new", F.when(has, _without.asNondeterministic()(F.when(has, text), F.col("__gone"))).otherwise(text))
     lines = F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long")
-    removed = F.coalesce(F.aggregate("__gone", F.lit(0), lambda n, p: n + p["lines"]), F.lit(0)).cast("long")
+    # Chunks overlap: each adds its lines behind those of the chunks before it.
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    sums = F.aggregate(F.sort_array("__gone"), start, lambda s, p: F.struct((s["n"] + F.greatest(F.lit(0), p["first"] + p["lines"] - F.greatest(s["end"], p["first"]))).alias("n"), F.greatest(s["end"], p["first"] + p["lines"]).alias("end")))
+    removed = F.coalesce(sums["n"], F.lit(0)).cast("long")
     return out.withColumn(name, F.struct(F.col("__new").alias("text"), F.when(text.isNull(), 0).otherwise(lines).alias("n_lines"), removed.alias("n_removed"))).drop("__sum", "__id", "__key", "__gone", "__new")
