@@ -5,7 +5,8 @@ sequence of its children) and each text occurred there, over how many pages. A n
 entropy of its styles, a text node's content importance the entropy of its texts, both as shares of the most that so many
 pages allow; a branch's importance joins its own with those of the text nodes below. What is alike on all pages of a
 site is of low importance: its branches are removed from each page. Elements that HTML itself marks as no article
-(scripts, navigation, forms and the like, by name, role or class) go on any page, as hosts with few pages have no style tree.
+(scripts, navigation, forms and the like, by name, role or class) go on any page, as hosts with few pages have no style tree;
+not so an element that holds the page's only article or most of its text.
 """
 
 import html as entities
@@ -22,8 +23,8 @@ from tessera.llm.common import no_null, row_slices, written
 #: Hosts of fewer pages have no style tree; branches of less importance are removed.
 LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.2
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements without content, of raw text, that end an open paragraph, and that end an open element of their own kind: fixed by HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,7 +36,8 @@ _SCOPE = frozenset("table ul ol dl select html body".split())
 _DROP = frozenset("head title script style noscript template nav footer aside form button select option input textarea iframe object embed canvas svg audio video menu dialog noframes noembed xmp".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _DROP_WORDS = frozenset("ad ads advert advertisement adverts adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead related recommended share sharing social comment comments disqus reply replies respond popup modal overlay widget pagination pager toolbar search skip".split())
-_WORDS = re.compile(r"[a-z]+")
+#: Of those, what a browser never shows as text of the page.
+_NO_TEXT = frozenset("title script style noscript template button select option input textarea iframe object embed canvas svg audio video noframes noembed xmp".split())
 
 
 class Node:
@@ -48,13 +50,25 @@ class Node:
 def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     name, drop = tag, tag in _DROP
     if attributes and len(attributes) > 3:
+        seen = set()
         for m in _ATTRIBUTE.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
             kind = m[1].lower()
+            if kind in seen:  # of equal names the first counts
+                continue
+            seen.add(kind)
+            value = (m[2] or m[3] or m[4] or "").lower()
             if kind == "class":
                 name = ".".join([tag, *sorted(value.split())])
-            drop = drop or (value in _DROP_ROLES if kind == "role" else tag not in ("html", "body", "article", "main") and not _DROP_WORDS.isdisjoint(_WORDS.findall(value)))
-        drop = drop or bool(_HIDDEN.search(attributes))
+            if kind in ("class", "id"):
+                drop = drop or tag not in ("html", "body", "article", "main") and not _DROP_WORDS.isdisjoint(value.split())
+            elif kind == "role":
+                drop = drop or value.strip() in _DROP_ROLES
+            elif kind == "hidden":
+                drop = True
+            elif kind == "aria-hidden":
+                drop = drop or value.strip() == "true"
+            elif kind == "style":
+                drop = drop or bool(_NO_DISPLAY.search(value))
     if tag == "header":  # a page's header goes, an article's heading stays
         drop = drop or parent is None or "article" not in parent.path and "main" not in parent.path
     return Node(tag, name, f"{parent.path}/{name}" if parent else name, drop)
@@ -102,9 +116,37 @@ def parse(page: str) -> Node:
                 at = end.end() if end else len(page)
             elif tag not in _VOID and not attributes.rstrip().endswith("/"):
                 stack.append(node)
+    _rescue(root)
     return root
 
 
+def _rescue(root: Node) -> None:
+    """Elements marked as no article stay where they hold most of the page's text, or the only article or main elements.
+
+    Beside a kept article or main, neither teasers in a sidebar nor long comments are rescued.
+    """
+    order, work = [], [(root, -1, False, False)]
+    while work:  # parents first
+        node, parent, gone, inside = work.pop()
+        gone = gone or node.drop
+        at = len(order)
+        order.append((node, parent, gone, inside))
+        inside = inside or node.tag in ("article", "main")
+        work += [(c, at, gone, inside) for c in node.children if isinstance(c, Node) and c.tag not in _NO_TEXT]
+    if not any(node.drop for node, *_ in order):
+        return
+    size = [sum(len(c.strip()) for c in node.children if isinstance(c, str)) for node, *_ in order]
+    holds = [False] * len(order)
+    for at in range(len(order) - 1, 0, -1):
+        node, parent, _, _ = order[at]
+        size[parent] += size[at]
+        holds[parent] = holds[parent] or holds[at] or node.tag in ("article", "main")
+    kept = any(node.tag in ("article", "main") and not gone for node, _, gone, _ in order)
+    for at, (node, _, _, inside) in enumerate(order):
+        if node.drop and (2 * size[at] > size[0] and (inside or not kept) or holds[at] and not kept):
+            node.drop = False
+
+
 def _squeezed(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
