@@ -240,10 +240,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, low): the paths of low importance of each host, from pages (host, html).
 
-    Counts are combined before the shuffle and then summed by path, so a hot host is no hot task. The importance of a
+    Copies of a page count once: pages are grouped by host and hash first, or one page under many urls would pass for what
+    the host's pages share. Counts are combined before the shuffle and then summed by path, so a hot host is no hot task. The importance of a
     node with n different pages is the entropy of its values over log n; a branch's is the larger of its own presentation
     importance and the mean content importance of the text nodes below it, each weighted by its pages.
     """
+    pages = pages.groupBy("host", F.xxhash64("html").alias("sum")).agg(F.first("html").alias("html")).select("host", "html")
     seen = pages.mapInArrow(_features, "host string, path string, is_text boolean, value long")
     counts = seen.groupBy("host", "path", "is_text", "value").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n")

@@ -1,8 +1,10 @@
-"""Pages as sites write them: harmless marks beside the article."""
+"""Pages as sites write them: harmless marks beside the article, and hosts with copies of one page."""
+
+import random
 
 import pytest
 
-from tessera.llm.site_style import main_text
+from tessera.llm.site_style import extract_text, main_text
 
 BODY = "<p>A story of some length, told in one paragraph.</p><p>And its end.</p>"
 TEXT = "A story of some length, told in one paragraph.\nAnd its end."
@@ -31,3 +33,15 @@ def test_marks_that_drop(mark):
 
 def test_beside_an_article_no_teasers_or_long_comments():
     assert main_text(f'<article>{BODY}</article><aside><article>teaser</article></aside><div class="comments">{"Great! " * 100}</div>') == TEXT
+
+
+@pytest.mark.parametrize("copies", [40, 300])
+def test_copies_of_a_page_are_no_template(spark, copies):
+    rng = random.Random(8)
+    page = lambda i, t: f"<body><div class=x1><p>Same on all pages</p></div><div class=x2><p>{t}</p></div></body>"
+    story = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(20))
+    few, several = [story() for _ in range(3)], [story() for _ in range(12)]
+    rows = [("few", t) for t in few] + [("several", t) for t in several] + [(h, "not found") for h in ("few", "several") for _ in range(copies)]
+    df = spark.createDataFrame([(i, f"http://{h}.example/{i}", page(i, t)) for i, (h, t) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in extract_text(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [t if h == "several" else f"Same on all pages\n{t}" for h, t in rows]
