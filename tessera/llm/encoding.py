@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 
 #: Letters that every version of the Unicode tables calls letters.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LETTERS = "".join(c for c in map(chr, range(256)) if re.fullmatch(f"[{_LETTER}]", c))
+_PLAIN = re.compile(" ?[A-Za-z]+")
 #: White space other than space and newline, by any definition.
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _RARE_CUTS = re.compile(r"(?<=\S)(?= \S)")
-_PARTS = re.compile(rf"([ \n]?[{_LETTER}]+)([,.]+)")
+_WORD = rf"^[ \n]?[{_LETTER}]+$"
 #: Starts a chunk that stands for itself; other chunks of byte-level texts follow a space. Texts that hold it are cut by _RARE_CUTS.
 _SELF = "\r"
 
@@ -39,25 +41,50 @@ def _word_spaced(text: str) -> str:
     return text.replace("\n", " ")
 
 
-def _byte_text(chunk: str) -> str:
-    return chunk[1:] if chunk[0] == _SELF else chunk if chunk[0] == "\n" else f" {chunk}"
+def _byte_texts(chunks: pa.Array) -> pa.Array:
+    """What the chunks stand for in a text."""
+    alone = pc.starts_with(chunks, _SELF)
+    spaced = pc.if_else(pc.starts_with(chunks, "\n"), chunks, pc.binary_join_element_wise(_text(" "), chunks, _text("")))
+    return pc.if_else(alone, pc.utf8_slice_codeunits(chunks, 1), spaced)
 
 
-def _same(chunk: str) -> str:
-    return chunk
+def _byte_word(word: str) -> str:
+    """A word of plain letters as the byte-level model writes it: a fixed sign stands for the space before it."""
+    return "\u0120" + word[1:] if word[0] == " " else word
 
 
-class _Index(dict):
-    """Chunk to number; new chunks gather in self.new."""
+def _same(chunks: pa.Array) -> pa.Array:
+    return chunks
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.new.append(chunk)
-        return n
+def _text(s: str) -> pa.Scalar:
+    return pa.scalar(s, pa.large_string())
+
+
+class _Known:
+    """Strings by number: the order in which they were met."""
+
+    def __init__(self, first: list[str] = []):
+        self.strings = pa.array(first, pa.large_string())
+
+    def __len__(self) -> int:
+        return len(self.strings)
+
+    def numbers(self, strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The strings' numbers, and the strings that were not known, each once: these get the next numbers."""
+        found = pc.index_in(strings, value_set=self.strings)
+        if not found.null_count:
+            return found.to_numpy().astype(np.int64), self.strings[:0]
+        odd = pc.is_null(found)
+        new = strings.filter(odd).dictionary_encode()
+        out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        out[odd.to_numpy(zero_copy_only=False)] = len(self.strings) + new.indices.to_numpy().astype(np.int64)
+        self.strings = pa.concat_arrays([self.strings, new.dictionary])
+        return out, new.dictionary
+
+    def cut(self, n: int) -> None:
+        if n < len(self.strings):
+            self.strings = pa.concat_arrays([self.strings[:n]])
 
 
 class _Ids:
@@ -94,35 +121,33 @@ class _Ids:
 class Encoder:
     """Encodes lists of texts with a tokenizers file.
 
-    keep: so many chunks are remembered. Chunks beyond are forgotten after each list of texts; all are, once a quarter of
-    a list's chunks are such. That changes the speed alone, never the ids.
+    keep: about so many chunks are remembered from list to list. That changes the speed alone, never the ids.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.spaced, self.text_of = (_word_spaced, _same) if self.library.normalizer is not None else (_byte_spaced, _byte_text)
+        self.spaced, self.text_of, self.to_model = (_word_spaced, _same, str.lower) if self.library.normalizer is not None else (_byte_spaced, _byte_texts, _byte_word)
         self.between = next(((n, t.content) for n, t in sorted(self.library.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
         self.keep = keep
         self._clear()
 
     def _clear(self) -> None:
-        self.index, self.parts = _Index(), _Index()
-        #: Chunks and their two parts: the places of their ids. Part 0 is empty.
+        #: Chunks and their two parts, and the places of their ids. Part 0 is empty.
+        self.chunks, self.parts = _Known(), _Known([""])
         self.chunk_ids, self.part_ids = _Ids(), _Ids()
-        self.parts[""] = 0
         self.part_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each chunk of all texts, and the number of chunks of each text.
-
-        Arrow cuts the texts and finds the distinct chunks; each of these is looked up once."""
+        """Number of each chunk of all texts, and the number of chunks of each text. Arrow cuts the texts and looks the chunks up."""
+        if len(self.chunks) > self.keep:
+            self._forget()
         spaced = list(map(self.spaced, texts))
         plain = [t for t in spaced if t is not None]
-        counts, numbers = np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
-        is_plain = np.fromiter((t is not None for t in spaced), bool, len(spaced))
+        counts, is_plain = np.zeros(len(texts), np.int64), np.fromiter((t is not None for t in spaced), bool, len(spaced))
+        pieces = pa.array([], pa.large_string())
         if plain:
             pieces = pc.split_pattern(pa.array([" ".join(plain)], pa.large_string()), " ").flatten()
             n = np.fromiter((t.count(" ") for t in plain), np.int64, len(plain)) + 1
@@ -130,56 +155,79 @@ class Encoder:
             if not pc.all(some).as_py():
                 n = np.add.reduceat(some.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(n) - n)
                 pieces = pieces.filter(some)
-            found = pieces.dictionary_encode()
-            distinct = np.fromiter(map(self.index.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(found.dictionary))
-            counts[is_plain], numbers = n, distinct[found.indices.to_numpy()]
+            counts[is_plain] = n
         if len(plain) < len(texts):
             cut = [_byte_rare(t) for t, s in zip(texts, spaced) if s is None]
             counts[~is_plain] = np.fromiter(map(len, cut), np.int64, len(cut))
-            at, whole = np.repeat(is_plain, counts), np.zeros(int(counts.sum()), np.int64)
-            whole[at] = numbers
-            whole[~at] = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, len(whole) - len(numbers))
+            pieces = pa.concat_arrays([pieces, pa.array(list(chain.from_iterable(cut)), pa.large_string())])
+        numbers, new = self.chunks.numbers(pieces)
+        if len(new):
+            self._learn(new)
+        if 0 < len(plain) < len(texts):  # back into the order of the texts
+            at, whole = np.repeat(is_plain, counts), np.zeros(len(numbers), np.int64)
+            edge = int(at.sum())
+            whole[at], whole[~at] = numbers[:edge], numbers[edge:]
             numbers = whole
-        if self.index.new:
-            self._learn(self.index.new)
+        self.fresh, self.seen = len(new), len(numbers)
         return numbers, counts
 
-    def _forget(self, seen: int) -> None:
-        new, self.index.new = self.index.new, []
-        if len(self.index) > self.keep:
-            if 4 * len(new) > seen or len(self.parts) > 2 * self.keep:
-                self._clear()
-            else:
-                for c in new:
-                    del self.index[c]
-                self.chunk_ids.cut(len(self.index))
+    def _forget(self) -> None:
+        """Chunks met last go; all go where a quarter of the last list's were new, or the parts are many."""
+        if 4 * self.fresh > self.seen or len(self.parts) > 2 * self.keep:
+            self._clear()
+        else:
+            self.chunks.cut(self.keep)
+            self.chunk_ids.cut(self.keep)
 
     def _library_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the texts one after the other, and their counts. Texts go to the library a hundred at a time, a special token between."""
+        """The ids of the texts one after the other, and their counts.
+
+        A word of plain letters is one piece to the pre-tokenizer, so the library's model takes it at once; other texts go
+        through the whole library, a hundred at a time, a special token between.
+        """
+        got: list[list[int]] = [[]] * len(texts)
+        tokens, word, odd = self.library.model.tokenize, _PLAIN.fullmatch, []
+        for i, t in enumerate(texts):
+            if word(t):
+                got[i] = [x.id for x in tokens(self.to_model(t))]
+            else:
+                odd.append(i)
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
+            got[i] = ids
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def _whole(self, texts: list[str]) -> list:
         encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         if self.between is None or any(self.between[1] in t for t in texts):
-            got = [e.ids for e in encode(texts, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got))), np.fromiter(map(len, got), np.int64, len(got))
+            return [e.ids for e in encode(texts, add_special_tokens=False)]
         joined = [self.between[1].join(texts[i : i + 100]) + self.between[1] for i in range(0, len(texts), 100)]
-        flat = np.concatenate([np.array(e.ids, np.uint32) for e in encode(joined, add_special_tokens=False)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in encode(joined, add_special_tokens=False))])
         ends = np.flatnonzero(flat == self.between[0])
-        return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
-
-    def _learn(self, new: list[str]) -> None:
-        number, match = self.parts.__getitem__, _PARTS.fullmatch
-        cut = [m.groups() if (m := match(t)) else (t, "") for t in map(self.text_of, new)]
-        pairs = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, 2 * len(cut))
-        if todo := self.parts.new:
-            self.parts.new = []
-            self.part_ids.add(*self._library_ids(todo))
-        self.chunk_ids.add(self.part_ids.of(pairs), self.part_ids.lengths[pairs].reshape(-1, 2).sum(1))
+        return [x[:-1].tolist() for x in np.split(flat, ends + 1)[:-1]]
+
+    def _learn(self, new: pa.Array) -> None:
+        """Ids of new chunks. Full stops and commas behind a word are a part of their own, so that the library sees a word once."""
+        chunks = self.text_of(new)
+        words = pc.utf8_rtrim(chunks, ",.")
+        whole, size = pc.binary_length(chunks), pc.binary_length(words)
+        split = pc.and_(pc.less(size, whole), pc.match_substring_regex(words, _WORD))
+        words = pc.if_else(split, words, chunks)
+        at = np.flatnonzero(split.to_numpy(zero_copy_only=False))
+        ends = chunks.take(pa.array(at))
+        ends = pc.utf8_ltrim(ends, f" \n{_LETTERS}")
+        numbers, todo = self.parts.numbers(pa.concat_arrays([words, ends]))
+        if len(todo):
+            self.part_ids.add(*self._library_ids(todo.to_pylist()))
+        pairs = np.zeros((len(new), 2), np.int64)
+        pairs[:, 0], pairs[at, 1] = numbers[: len(new)], numbers[len(new) :]
+        self.chunk_ids.add(self.part_ids.of(pairs.ravel()), self.part_ids.lengths[pairs].sum(1))
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """The number of ids of each text."""
         numbers, chunks = self._look_up(texts)
         ends = np.concatenate([[0], np.cumsum(self.chunk_ids.lengths[numbers])])
         edges = np.concatenate([[0], np.cumsum(chunks)])
-        self._forget(len(numbers))
         return ends[edges[1:]] - ends[edges[:-1]]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +241,6 @@ class Encoder:
         keep = np.ones(len(out), bool)
         keep[np.cumsum(counts + 1) - 1] = False
         out[keep] = flat
-        self._forget(len(numbers))
         return out, counts + 1
 
 

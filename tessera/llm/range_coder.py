@@ -8,8 +8,8 @@ Three models predict an id. Order 2 (the two ids before) and order 1 (the id bef
 spreads the rest over the vocabulary by the counts so far. Their predictions are mixed: the id's share of the range is
 the sum of what each order gives it, by weights that the block learns for each pair of trusts (how often the guesses of
 the two contexts held lately) and for whether the guesses agree. All arithmetic is on integers, so that blocks decode
-alike on every machine. Order 0 is counted anew after 1, 2, 4, 8
-and then each 16 steps, the weights after each of the first 16 and then each 4.
+alike on every machine. Order 0 is counted anew after 1, 2, 4, 8, 16
+and then each 32 steps, the weights after each of the first 16 and then each 8.
 """
 
 import struct
@@ -17,12 +17,10 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 1 << 20
-LANES = 4096
+BLOCK_IDS = 1 << 22
+LANES = 8192
 #: Bits of the mixing weights, and those of order 0 for vocabularies up to 2^18 ids (larger ones take two bits over their size).
-_W, _ORDER0, _EVERY = 10, 20, 16
-#: The next trust after a guess that failed, then after one that held.
-_TRUST = np.array([1, 1, *(t >> 1 for t in range(2, 16)), *(min(t + 1, 15) for t in range(16))], np.int32)
+_W, _ORDER0, _EVERY = 10, 20, 32
 _MOST_VOCABULARY = 1 << 20
 _LOW32 = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -30,8 +28,25 @@ _HEAD = struct.Struct("<4sIIII")
 MAGIC = b"CMB2"
 
 
+def _tables() -> tuple[np.ndarray, ...]:
+    """By the code (trust 1, trust 2, whether the guesses agree, whether guess 2 held, whether guess 1 held): for each order the change of its slot and whether the slot takes the new id."""
+    next_trust = np.array([[1, 1, *(t >> 1 for t in range(2, 16))], [min(t + 1, 15) for t in range(16)]])
+    code = np.arange(2048)
+    out = []
+    for shift, held, trust in ((5, code & 1, code >> 7), (1, code >> 1 & 1, code >> 3 & 15)):
+        out += [((next_trust[held, trust] - trust) << shift).astype(np.int32), (held == 0) & (trust <= 1)]
+    return tuple(out)
+
+
+_CHANGE1, _TAKES1, _CHANGE2, _TAKES2 = _tables()
+
+
 class _Model:
-    """Counts of order 0, guesses of orders 1 and 2 with their trust (0: none yet, to 15), and the mixing weights."""
+    """Counts of order 0, guesses of orders 1 and 2 with their trust (0: none yet, to 15), and the mixing weights.
+
+    A slot of order 1 holds guess << 9 | trust << 5, one of order 2 guess << 5 | trust << 1: so two masks and whether the
+    guesses agree make the number of the weights.
+    """
 
     def __init__(self, vocabulary: int):
         if vocabulary > _MOST_VOCABULARY:
@@ -48,21 +63,21 @@ class _Model:
 
     def _count(self) -> None:
         """Shares of order 0: at least 1 for every id, 2^bits together; the commonest id takes what rounding leaves."""
-        for ids in self.held:
-            self.counts += np.bincount(ids, minlength=len(self.counts))
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
         self.held = []
         room, n = (1 << self.bits) - len(self.counts), int(self.counts.sum())
         size = 1 + (self.counts * room // n if n else np.zeros(len(self.counts), np.int64))
         size[int(self.counts.argmax())] += (1 << self.bits) - int(size.sum())
-        start = np.cumsum(size) - size
-        self.size, self.start = size, start
-        self.at = None
+        self.size, self.at = size, None
+        #: start << 32 | size of each id's share
+        self.share = ((np.cumsum(size) - size) << 32 | size).view(np.uint64)
 
     def id_at(self, place: np.ndarray) -> np.ndarray:
         """The ids whose shares of order 0 hold the places."""
         if self.at is None:
             self.at = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
-        return self.at[place]
+        return self.at.take(place)
 
     def _weigh(self) -> None:
         tally, self.tally = self.tally.reshape(512, 2, 2), np.zeros(2048, np.int64)
@@ -76,30 +91,36 @@ class _Model:
         over = np.maximum(share.sum(0), 1)
         most = (1 << _W) - 8
         share = np.where(over > most, share * most // over, share)
-        self.until2, self.until1 = share[0], share.sum(0)
-        self.rest = (1 << _W) - self.until1
+        until1 = share.sum(0)
+        #: Ends of the shares of orders 2 and 1 in the range, and what order 0 has of it.
+        self.end2, self.end1, self.rest = ((x << s).view(np.uint64) for x, s in ((share[0], self.bits), (until1, self.bits), ((1 << _W) - until1, 0)))
 
     @staticmethod
     def contexts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return b & 0xFFFF, (a.view(np.uint32) * np.uint32(0x9E3779B1) + b.view(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(14)
+        """Slots of the orders after the ids a and b (unsigned, 32 bits)."""
+        return (b & np.uint32(0xFFFF)).astype(np.int64), ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int64)
 
     def predict(self, c1: np.ndarray, c2: np.ndarray):
-        """Guesses of orders 1 and 2, their trusts, and the number of the weights in force."""
-        m1, m2 = self.memory[0][c1], self.memory[1][c2]
-        g1, g2, t1, t2 = m1 >> 4, m2 >> 4, m1 & 15, m2 & 15
-        return g1, g2, t1, t2, (t1 << 5) + (t2 << 1) + (g1 == g2)
-
-    def learn(self, c1: np.ndarray, c2: np.ndarray, ids: np.ndarray, predicted) -> None:
-        g1, g2, t1, t2, w = predicted
-        same1, same2 = g1 == ids, g2 == ids
-        self.tally += np.bincount(w * 4 + same2 * 2 + same1, minlength=2048)
-        for memory, c, g, t, same in ((self.memory[0], c1, g1, t1, same1), (self.memory[1], c2, g2, t2, same2)):
-            memory[c] = np.where(same | (t > 1), g, ids) << 4 | _TRUST[t + 16 * same]
+        """The slots, the guesses of orders 1 and 2, and the number of the weights in force."""
+        m1, m2 = self.memory[0].take(c1), self.memory[1].take(c2)
+        g1, g2 = m1 >> 9, m2 >> 5
+        return m1, m2, g1, g2, ((m1 & 0x1E0) | (m2 & 0x1E) | (g1 == g2)).astype(np.int64)
+
+    def learn(self, c1: np.ndarray, c2: np.ndarray, ids: np.ndarray, same1: np.ndarray, same2: np.ndarray, predicted) -> None:
+        m1, m2, _, _, w = predicted
+        code = (w << 2) + (same2.view(np.int8) * np.int8(2) + same1.view(np.int8))
+        self.tally += np.bincount(code, minlength=2048)
+        new = m1 + _CHANGE1.take(code)
+        np.putmask(new, _TAKES1.take(code), (ids << 9) + 32)
+        self.memory[0][c1] = new
+        new = m2 + _CHANGE2.take(code)
+        np.putmask(new, _TAKES2.take(code), (ids << 5) + 2)
+        self.memory[1][c2] = new
         self.held.append(ids)
         self.steps += 1
-        if self.steps % 4 == 0 or self.steps < 16:
+        if self.steps % 8 == 0 or self.steps < 16:
             self._weigh()
-        if self.steps % _EVERY == 0 or self.steps in (1, 2, 4, 8):
+        if self.steps % _EVERY == 0 or self.steps in (1, 2, 4, 8, 16):
             self._count()
 
 
@@ -108,44 +129,45 @@ class _Writer:
 
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.words, self.n = np.zeros((steps + 2, lanes), np.uint64), np.ones(lanes, np.int64)
+        #: A row of words for each lane, so that a lane's next word lies beside its last; n holds the next places.
+        self.width = steps + 2
+        self.words, self.n = np.zeros(lanes * self.width, np.uint64), np.arange(lanes) * self.width + 1
 
     def code(self, m: int, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         """Codes a share of 2^bits on each of the first m lanes."""
         r = self.range[:m] >> np.uint64(bits)
-        before = self.low[:m]
-        low = before + r * start.astype(np.uint64)
-        over = np.flatnonzero(low < before)
-        if len(over):
-            self.words[self.n[over] - 1, over] += np.uint64(1)
-        self.low[:m] = low
-        self.range[:m] = r * size.astype(np.uint64)
+        start *= r
+        low = self.low[:m]
+        low += start
+        over = low < start
+        if over.any():
+            self.words[self.n[:m][over] - 1] += np.uint64(1)
+        np.multiply(r, size, out=self.range[:m])
         full = np.flatnonzero(self.range[:m] <= _LOW32)
         if len(full):
-            self.words[self.n[full], full] = self.low[full] >> _32
-            self.n[full] += 1
-            self.low[full] <<= _32
-            self.range[full] <<= _32
+            n, low = self.n.take(full), self.low.take(full)
+            self.words[n] = low >> _32
+            self.n[full] = n + 1
+            self.low[full] = low << _32
+            self.range[full] = self.range.take(full) << _32
 
     def done(self) -> tuple[np.ndarray, np.ndarray]:
         """The lanes' words, lane after lane, and how many each has."""
-        lanes = np.arange(len(self.low))
         # The upper end, cut to 32 bits, lies in the range and needs one word.
         last = self.low + self.range - np.uint64(1)
-        self.words[self.n - 1, lanes] += (last < self.low).astype(np.uint64)
-        words = self.words
-        words[self.n, lanes] = last >> _32
-        counts = self.n.copy()
-        for k in range(int(self.n.max()), 0, -1):
-            words[k - 1] += words[k] >> _32
-            words[k] &= _LOW32
-        inside = np.arange(len(words))[:, None]
-        return words.T[((inside >= 1) & (inside <= counts)).T].astype("<u4"), counts
+        self.words[self.n - 1] += (last < self.low).astype(np.uint64)
+        self.words[self.n] = last >> _32
+        counts = self.n - np.arange(len(self.n)) * self.width
+        words = self.words.reshape(-1, self.width)[:, : int(counts.max()) + 1]
+        for k in range(words.shape[1] - 1, 0, -1):
+            words[:, k - 1] += words[:, k] >> _32
+        return words[:, 1:][np.arange(1, words.shape[1]) <= counts[:, None]].astype("<u4"), counts
 
 
 class _Reader:
     def __init__(self, words: np.ndarray, counts: np.ndarray):
-        self.words = np.concatenate([words, np.zeros(1, "<u4")]).astype(np.uint64)
+        #: A lane reads one word behind its own at most, which counts for nothing: the last lane's are zeros.
+        self.words = np.concatenate([words, np.zeros(2, "<u4")]).astype(np.uint64)
         self.ends = np.cumsum(counts)
         self.at = self.ends - counts
         self.range = np.full(len(counts), 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -155,21 +177,24 @@ class _Reader:
 
     def _next(self, lanes: np.ndarray) -> np.ndarray:
         """Each lane's next word; zeros behind the last."""
-        at = self.at[lanes]
+        at = self.at.take(lanes)
         self.at[lanes] = at + 1
-        return np.where(at < self.ends[lanes], self.words[np.minimum(at, len(self.words) - 1)], np.uint64(0))
+        got = self.words.take(at, mode="clip")
+        np.putmask(got, at >= self.ends.take(lanes), 0)
+        return got
 
     def place(self, m: int, bits: int) -> np.ndarray:
         self.r = self.range[:m] >> np.uint64(bits)
-        return np.minimum(self.value[:m] // self.r, np.uint64((1 << bits) - 1)).astype(np.int64)
+        return np.minimum(self.value[:m] // self.r, np.uint64((1 << bits) - 1))
 
     def took(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
-        self.value[:m] -= self.r * start.astype(np.uint64)
-        self.range[:m] = self.r * size.astype(np.uint64)
+        start *= self.r
+        self.value[:m] -= start
+        np.multiply(self.r, size, out=self.range[:m])
         full = np.flatnonzero(self.range[:m] <= _LOW32)
         if len(full):
-            self.value[full] = self.value[full] << _32 | self._next(full)
-            self.range[full] <<= _32
+            self.value[full] = self.value.take(full) << _32 | self._next(full)
+            self.range[full] = self.range.take(full) << _32
 
 
 def _shape(n: int) -> tuple[int, int, int]:
@@ -179,9 +204,18 @@ def _shape(n: int) -> tuple[int, int, int]:
     return lanes, steps, n - lanes * (steps - 1)
 
 
-def _starts(lanes: int, steps: int, last: int) -> np.ndarray:
-    """Where each lane's ids begin."""
-    return np.minimum(np.arange(lanes), last) * steps + np.maximum(np.arange(lanes) - last, 0) * (steps - 1)
+def _dealt(ids: np.ndarray, lanes: int, steps: int, last: int) -> np.ndarray:
+    """Ids dealt to lanes, as a row for each step; the first `last` lanes have an id at the last step."""
+    out = np.zeros((steps, lanes), ids.dtype)
+    out[:, :last] = ids[: last * steps].reshape(last, steps).T
+    if steps > 1:
+        out[:-1, last:] = ids[last * steps :].reshape(lanes - last, steps - 1).T
+    return out
+
+
+def _gathered(rows: np.ndarray, last: int) -> np.ndarray:
+    """What _dealt was given."""
+    return np.concatenate([rows[:, :last].T.ravel(), rows[:-1, last:].T.ravel()])
 
 
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -191,23 +225,29 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     body, lanes = b"", 0
     if n:
         lanes, steps, last = _shape(n)
-        model, coder, starts, wide = _Model(vocabulary), _Writer(lanes, steps), _starts(lanes, steps, last), ids.astype(np.int32)
-        a = b = np.zeros(lanes, np.int32)
+        model, coder, rows = _Model(vocabulary), _Writer(lanes, steps), _dealt(ids.astype(np.int32), lanes, steps, last)
+        a = b = np.zeros(lanes, np.uint32)
         for t in range(steps):
             m = lanes if t < steps - 1 else last
-            now = wide[starts[:m] + t]
+            now = rows[t, :m]
             c1, c2 = model.contexts(a[:m], b[:m])
             predicted = model.predict(c1, c2)
-            g1, g2, _, _, w = predicted
-            until2, until1 = model.until2[w], model.until1[w]
-            by2 = (g2 == now) & (until2 > 0)
-            by1 = (g1 == now) & (until1 > until2) & ~by2
-            rest = model.rest[w]
-            start = np.where(by2, 0, np.where(by1, until2 << model.bits, (until1 << model.bits) + rest * model.start[now]))
-            size = np.where(by2, until2 << model.bits, np.where(by1, (until1 - until2) << model.bits, rest * model.size[now]))
+            _, _, g1, g2, w = predicted
+            same1, same2 = g1 == now, g2 == now
+            end2, end1, rest = model.end2.take(w), model.end1.take(w), model.rest.take(w)
+            share = model.share.take(now.astype(np.int64))
+            start = (share >> _32) * rest
+            start += end1
+            size = (share & _LOW32) * rest
+            by1 = same1 & (end1 > end2)
+            np.putmask(start, by1, end2)
+            np.putmask(size, by1, end1 - end2)
+            by2 = same2 & (end2 > 0)
+            np.putmask(start, by2, 0)
+            np.putmask(size, by2, end2)
             coder.code(m, start, size, model.bits + _W)
-            model.learn(c1, c2, now, predicted)
-            a, b = b[:m], now
+            model.learn(c1, c2, now, same1, same2, predicted)
+            a, b = b[:m], now.view(np.uint32)
         words, counts = coder.done()
         body = counts.astype("<u4").tobytes() + words.tobytes()
     return _HEAD.pack(MAGIC, n, zlib.crc32(ids.tobytes()), zlib.crc32(body), lanes) + body
@@ -219,29 +259,38 @@ def decode_block(data: bytes, vocabulary: int) -> np.ndarray:
     body = memoryview(data)[_HEAD.size :]
     if magic != MAGIC or zlib.crc32(body) != body_crc:
         raise ValueError("a block is damaged")
-    out = np.zeros(n, np.int32)
+    ids = np.zeros(0, "<u4")
     if n:
         _, steps, last = _shape(n)
-        model, starts = _Model(vocabulary), _starts(lanes, steps, last)
+        model, rows = _Model(vocabulary), np.zeros((steps, lanes), np.int32)
         coder = _Reader(np.frombuffer(body, "<u4", offset=4 * lanes), np.frombuffer(body, "<u4", lanes).astype(np.int64))
-        a = b = np.zeros(lanes, np.int32)
+        a = b = np.zeros(lanes, np.uint32)
         for t in range(steps):
             m = lanes if t < steps - 1 else last
             c1, c2 = model.contexts(a[:m], b[:m])
             predicted = model.predict(c1, c2)
-            g1, g2, _, _, w = predicted
-            until2, until1, rest = model.until2[w], model.until1[w], model.rest[w]
-            place, end2, end1 = coder.place(m, model.bits + _W), until2 << model.bits, until1 << model.bits
-            by2, by1 = place < end2, place < end1
-            x = model.id_at(np.where(by1, 0, place - end1).astype(np.uint32) // rest.astype(np.uint32))
-            now = np.where(by2, g2, np.where(by1, g1, x))
-            start = np.where(by2, 0, np.where(by1, end2, end1 + rest * model.start[x]))
-            size = np.where(by2, end2, np.where(by1, end1 - end2, rest * model.size[x]))
+            _, _, g1, g2, w = predicted
+            end2, end1, rest = model.end2.take(w), model.end1.take(w), model.rest.take(w)
+            place = coder.place(m, model.bits + _W)
+            by1, by2 = place < end1, place < end2
+            place -= end1
+            np.putmask(place, by1, 0)
+            now = model.id_at((place.astype(np.uint32) // rest.astype(np.uint32)).astype(np.int64))
+            share = model.share.take(now.astype(np.int64))
+            start = (share >> _32) * rest
+            start += end1
+            size = (share & _LOW32) * rest
+            np.putmask(now, by1, g1)
+            np.putmask(start, by1, end2)
+            np.putmask(size, by1, end1 - end2)
+            np.putmask(now, by2, g2)
+            np.putmask(start, by2, 0)
+            np.putmask(size, by2, end2)
             coder.took(m, start, size)
-            model.learn(c1, c2, now, predicted)
-            out[starts[:m] + t] = now
-            a, b = b[:m], now
-    ids = out.astype("<u4")
+            model.learn(c1, c2, now, g1 == now, g2 == now, predicted)
+            rows[t, :m] = now
+            a, b = b[:m], now.view(np.uint32)
+        ids = _gathered(rows, last).astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("a block's ids do not match their checksum")
     return ids

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import no_null, partitions, row_slices
+from tessera.llm.common import SLICE_BYTES, no_null, partitions, row_slices
 from tessera.llm.encoding import encoder
 from tessera.llm.range_coder import BLOCK_IDS, decode_block, encode_block
 from tessera.llm.shards import ShardFile, commit, manifest, open_shard
@@ -24,12 +25,13 @@ _MAGIC = b"TOKFILE1"
 
 
 class _Writer:
-    def __init__(self, folder: str, vocabulary: int):
-        self.file, self.vocabulary = ShardFile(folder, 0, ".tok"), vocabulary
-        self.held, self.n_held, self.blocks, self.docs, self.counts, self.n = [], 0, [], [], [], 0
+    def __init__(self, folder: str, number: int, vocabulary: int):
+        self.file, self.number, self.vocabulary = ShardFile(folder, number, ".tok"), number, vocabulary
+        self.held, self.n_held, self.blocks, self.docs, self.known, self.counts, self.n = [], 0, [], [], [], [], 0
 
-    def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.docs += doc_ids
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.docs.append(pc.fill_null(doc_ids, 0).to_numpy())
+        self.known.append(doc_ids.is_valid().to_numpy(zero_copy_only=False))
         self.counts.append(counts)
         self.n += len(ids)
         while len(ids):
@@ -45,44 +47,48 @@ class _Writer:
         self.file.write(data)
         self.held, self.n_held = [], 0
 
-    def close(self) -> str:
+    def close(self) -> pa.RecordBatch:
         if self.n_held:
             self._block()
-        docs = np.array([0 if d is None else d for d in self.docs], "<i8")
-        known = np.array([d is not None for d in self.docs], bool)
-        counts = np.concatenate([np.zeros(0, np.int64), *self.counts]).astype("<i8")
+        docs, known, counts = np.concatenate(self.docs).astype("<i8"), np.concatenate(self.known), np.concatenate(self.counts).astype("<i8")
         table = zlib.compress(b"".join([struct.pack("<QQI", len(docs), len(self.blocks), self.vocabulary), docs.tobytes(), np.packbits(known).tobytes(), counts.tobytes(), np.array(self.blocks, "<i8").tobytes()]))
         at = self.file.bytes
         self.file.write(table)
         self.file.write(_TAIL.pack(at, len(table), zlib.crc32(table), _MAGIC))
-        return self.file.close()
+        name = self.file.close()
+        return pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "number": pa.array([self.number], pa.int64()), "file": [name], "docs": pa.array([len(docs)], pa.int64()), "ids": pa.array([self.n], pa.int64()), "bytes": pa.array([self.file.bytes], pa.int64())})
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes whole texts and writes one file for each range of ids; returns the manifest (shard, file, docs, ids, bytes).
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", roll_ids: int = 1 << 28) -> DataFrame:
+    """Encodes whole texts and writes files for each range of ids; returns the manifest (shard, number, file, docs, ids, bytes).
+
+    A new file begins once one holds roll_ids ids. A very long text is encoded whole, by the task that holds it, and its ids
+    are written in blocks like any other.
 
     Rows are sorted by id (nulls first); rows with equal ids keep no set order among them. Null texts are empty: their one id
     is end_id. An empty table writes no files. Ids must be integers. Other columns are not read.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out = encoder(tokenizer), None
+        enc, out, number = encoder(tokenizer), None, 0
         size = enc.library.get_vocab_size(with_added_tokens=True)
-        for b in row_slices(batches, "__text"):
-            out = out or _Writer(folder, max(size, end_id + 1))
-            out.add(b.column(0).to_pylist(), *enc.encode(b.column(1).to_pylist(), end_id))
+        for b in row_slices(batches, "__text", 2 * SLICE_BYTES):
+            out = out or _Writer(folder, number, max(size, end_id + 1))
+            out.add(b.column(0), *enc.encode(b.column(1).to_pylist(), end_id))
+            if out.n >= roll_ids:
+                yield out.close()
+                out, number = None, number + 1
         if out:
-            name = out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "file": [name], "docs": pa.array([len(out.docs)], pa.int64()), "ids": pa.array([out.n], pa.int64()), "bytes": pa.array([out.file.bytes], pa.int64())})
+            yield out.close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), no_null(text_col).alias("__text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "__id").sortWithinPartitions("__id")
-    return commit(rows.mapInArrow(write, "shard long, file string, docs long, ids long, bytes long"), folder)
+    return commit(rows.mapInArrow(write, "shard long, number long, file string, docs long, ids long, bytes long"), folder)
 
 
 def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids) of each document in the files: start counts the ids of all documents before it, ids holds little-endian unsigned 32-bit ids."""
-    before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
+    before = F.sum("ids").over(Window.orderBy("shard", "number").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
     files = manifest(spark, folder).select("shard", "file", F.coalesce(before, F.lit(0)).alias("first"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +96,7 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
             for row in b.to_pylist():
                 yield from _documents(folder, row["file"], row["first"], id_col)
 
-    return files.repartition(partitions(spark), "shard").mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids binary")
+    return files.repartition(partitions(spark), "shard", "number").mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids binary")
 
 
 def _documents(folder: str, name: str, first: int, id_col: str) -> Iterator[pa.RecordBatch]:
