@@ -2,7 +2,9 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,30 +24,24 @@ def no_null(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def _cuts(values: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive values that hold about limit bytes at most; one longer value stands alone."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(values):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield at, stop - at
+        at = stop
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[str]]:
     """Consecutive texts (null: empty) in lists balanced by bytes; a longer text is a list of its own."""
-    out, held = [], 0
-    for x in texts:
-        t = x.as_py() or ""
-        if out and held + len(t) > limit:
-            yield out
-            out, held = [], 0
-        out.append(t)
-        held += len(t)
-    if out:
-        yield out
+    for at, n in _cuts(texts, limit):
+        yield [t or "" for t in texts.slice(at, n).to_pylist()]
 
 
 def row_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column's values hold about limit bytes at most (one longer value stands alone)."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
-        ends, at = np.cumsum(sizes), 0
-        while at < b.num_rows:
-            before = int(ends[at - 1]) if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            yield b.slice(at, stop - at)
-            at = stop
+        for at, n in _cuts(b.column(b.schema.get_field_index(column)), limit):
+            yield b.slice(at, n)
