@@ -1,16 +1,23 @@
 """HTML extraction with site style trees (operator 1).
 
-The pages of a host are merged into one tree: a node for each path of elements, holding how often each style (the
-sequence of its children) and each text occurred there, over how many pages. A node's presentation importance is the
-entropy of its styles, a text node's content importance the entropy of its texts, both as shares of the most that so many
-pages allow; a branch's importance joins its own with those of the text nodes below. What is alike on all pages of a
-site is of low importance: its branches are removed from each page. Elements that HTML itself marks as no article
-(scripts, navigation, forms and the like, by name, role or class) go on any page, as hosts with few pages have no style tree;
-not so an element that holds the page's only article or most of its text.
+The pages of a host are merged into one tree. A node is a path of elements; it holds how often each style (the sequence of
+its children) and each content (all text below it) occurred there. Presentation importance is the entropy of the styles,
+content importance that of the contents, each as a share of the most that so many pages allow; a branch's importance is
+the mean of the two. What is alike on all pages of a site is of low importance, what differs from page to page is of high.
+
+Few pages say little: the importance is drawn towards a prior, as if SHRINK more pages had shown it. The prior is 1, or 0
+for elements with a role or with a word in class or id that says advert, sidebar, notice or the like. A branch goes if its
+importance is below LOW; one with such a mark goes unless its importance reaches HIGH, which only branches do whose
+layout and text both differ from page to page.
+
+What HTML itself gives no text of the page (scripts, head, forms and the like), navigation, footers, asides, hidden
+elements, and reader comments go by name. Inside article and main elements nothing goes for its importance. An element
+that goes by name or mark stays if it holds the page's only article or most of its text.
 """
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,11 +27,12 @@ from xxhash import xxh64_intdigest
 
 from tessera.llm.common import no_null, row_slices, written
 
-#: Hosts of fewer pages have no style tree; branches of less importance are removed.
-LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.2
+#: Branches of less importance are removed; marked ones are unless they reach HIGH; and how many pages the prior counts as.
+LOW, HIGH, SHRINK = 0.2, 0.75, 2
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+_SEED = (1 << 64) - 1
 _SPACE = re.compile(r"\s+")
 #: Elements without content, of raw text, that end an open paragraph, and that end an open element of their own kind: fixed by HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,23 +40,32 @@ _RAW = frozenset("script style textarea title noframes xmp iframe noembed".split
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl select html body".split())
-#: No article, by element, by role, and by a word of class or id.
+#: No article: by element, and by a role that says so.
 _DROP = frozenset("head title script style noscript template nav footer aside form button select option input textarea iframe object embed canvas svg audio video menu dialog noframes noembed xmp".split())
-_DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_DROP_WORDS = frozenset("ad ads advert advertisement adverts adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead related recommended share sharing social comment comments disqus reply replies respond popup modal overlay widget pagination pager toolbar search skip".split())
+_DROP_ROLES = frozenset("navigation contentinfo complementary search form dialog alertdialog menu menubar".split())
+#: Reader comments, by a word of class or id.
+_COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Marks that the style tree decides about: roles, and words of class or id.
+_MARK_ROLES = frozenset("banner alert toolbar".split())
+_MARK_WORDS = frozenset("ad ads advert advertisement adverts adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead related recommended share sharing social popup modal overlay widget pagination pager toolbar search skip".split())
+_PLAIN, _MARKED, _GONE = 0, 1, 2
 #: Of those, what a browser never shows as text of the page.
 _NO_TEXT = frozenset("title script style noscript template button select option input textarea iframe object embed canvas svg audio video noframes noembed xmp".split())
 
 
 class Node:
-    __slots__ = ("children", "drop", "name", "path", "tag")
+    """mark: whether the element is plain, marked for the style tree to decide, or goes by name. id: a hash of the path."""
 
-    def __init__(self, tag: str, name: str, path: str, drop: bool):
-        self.tag, self.name, self.path, self.drop, self.children = tag, name, path, drop, []
+    __slots__ = ("children", "id", "inside", "mark", "name", "tag")
 
+    def __init__(self, tag: str, name: str, parent: "Node | None", mark: int):
+        self.tag, self.name, self.mark, self.children = tag, name, mark, []
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.id = xxh64_intdigest(f"{mark} {name}".encode("utf-8", "replace"), parent.id & _SEED if parent else 0) - (1 << 63)
 
-def _node(tag: str, attributes: str, parent: Node | None) -> Node:
-    name, drop = tag, tag in _DROP
+
+def _node(tag: str, attributes: str, parent: Node) -> Node:
+    name, mark = tag, _GONE if tag in _DROP else _PLAIN
     if attributes and len(attributes) > 3:
         seen = set()
         for m in _ATTRIBUTE.finditer(attributes):
@@ -60,24 +77,29 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
             if kind == "class":
                 name = ".".join([tag, *sorted(value.split())])
             if kind in ("class", "id"):
-                drop = drop or tag not in ("html", "body", "article", "main") and not _DROP_WORDS.isdisjoint(value.split())
+                words = value.split()
+                if tag not in ("html", "body", "article", "main"):
+                    mark = max(mark, _GONE if not _COMMENTS.isdisjoint(words) else _PLAIN if _MARK_WORDS.isdisjoint(words) else _MARKED)
             elif kind == "role":
-                drop = drop or value.strip() in _DROP_ROLES
-            elif kind == "hidden":
-                drop = True
-            elif kind == "aria-hidden":
-                drop = drop or value.strip() == "true"
-            elif kind == "style":
-                drop = drop or bool(_NO_DISPLAY.search(value))
-    if tag == "header":  # a page's header goes, an article's heading stays
-        drop = drop or parent is None or "article" not in parent.path and "main" not in parent.path
-    return Node(tag, name, f"{parent.path}/{name}" if parent else name, drop)
+                mark = max(mark, _GONE if value.strip() in _DROP_ROLES else _MARKED if value.strip() in _MARK_ROLES else _PLAIN)
+            elif kind == "hidden" or kind == "aria-hidden" and value.strip() == "true" or kind == "style" and _NO_DISPLAY.search(value):
+                mark = _GONE
+    out = Node(tag, name, parent, mark)
+    if tag == "header" and not out.inside:  # a page's header goes, an article's heading stays
+        out.mark = _GONE
+    return out
 
 
 def parse(page: str) -> Node:
     """The page as a tree: unclosed and misplaced tags are settled the way browsers do in the common cases."""
-    root = Node("", "", "", False)
-    stack, at, find = [root], 0, _TOKEN.match
+    root = Node("", "", None, _PLAIN)
+    stack, opened, at, find = [root], Counter(), 0, _TOKEN.match
+
+    def close(i: int) -> None:
+        for node in stack[i:]:
+            opened[node.tag] -= 1
+        del stack[i:]
+
     while m := find(page, at):
         at = m.end()
         closing, tag, attributes, text = m.groups()
@@ -86,28 +108,29 @@ def parse(page: str) -> Node:
         elif tag is not None:
             tag = tag.lower()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _SCOPE and tag not in _BLOCK:
-                        break
+                if opened[tag]:
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].tag == tag:
+                            close(i)
+                            break
+                        if stack[i].tag in _SCOPE and tag not in _BLOCK:
+                            break
                 continue
-            if tag in _BLOCK:
+            if tag in _BLOCK and opened["p"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i].tag in _BLOCK:
                         break
-            if ends := _ENDS.get(tag):
+            if (ends := _ENDS.get(tag)) and any(opened[x] for x in ends):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in ends:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i].tag in _SCOPE:
                         break
-            node = _node(tag, attributes, stack[-1] if stack[-1] is not root else None)
+            node = _node(tag, attributes, stack[-1])
             stack[-1].children.append(node)
             if tag in _RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
@@ -116,80 +139,81 @@ def parse(page: str) -> Node:
                 at = end.end() if end else len(page)
             elif tag not in _VOID and not attributes.rstrip().endswith("/"):
                 stack.append(node)
-    _rescue(root)
+                opened[tag] += 1
     return root
 
 
-def _rescue(root: Node) -> None:
-    """Elements marked as no article stay where they hold most of the page's text, or the only article or main elements.
-
-    Beside a kept article or main, neither teasers in a sidebar nor long comments are rescued.
-    """
-    order, work = [], [(root, -1, False, False)]
-    while work:  # parents first
-        node, parent, gone, inside = work.pop()
-        gone = gone or node.drop
-        at = len(order)
-        order.append((node, parent, gone, inside))
-        inside = inside or node.tag in ("article", "main")
-        work += [(c, at, gone, inside) for c in node.children if isinstance(c, Node) and c.tag not in _NO_TEXT]
-    if not any(node.drop for node, *_ in order):
-        return
-    size = [sum(len(c.strip()) for c in node.children if isinstance(c, str)) for node, *_ in order]
-    holds = [False] * len(order)
-    for at in range(len(order) - 1, 0, -1):
-        node, parent, _, _ = order[at]
-        size[parent] += size[at]
-        holds[parent] = holds[parent] or holds[at] or node.tag in ("article", "main")
-    kept = any(node.tag in ("article", "main") and not gone for node, _, gone, _ in order)
-    for at, (node, _, _, inside) in enumerate(order):
-        if node.drop and (2 * size[at] > size[0] and (inside or not kept) or holds[at] and not kept):
-            node.drop = False
+class Kept:
+    """Which elements of a page are kept, by the low branches of its host. None: no host is known, and marked elements go."""
+
+    def __init__(self, root: Node, low: frozenset[int] | None):
+        self.low, self.rescued = low, set()
+        order, work = [], [(root, -1, False)]
+        while work:  # parents first
+            node, parent, gone = work.pop()
+            gone = gone or self.drops(node)
+            at = len(order)
+            order.append((node, parent, gone))
+            work += [(c, at, gone) for c in node.children if isinstance(c, Node) and c.tag not in _NO_TEXT]
+        size = [sum(len(c.strip()) for c in node.children if isinstance(c, str)) for node, *_ in order]
+        holds = [False] * len(order)
+        for at in range(len(order) - 1, 0, -1):
+            node, parent, _ = order[at]
+            size[parent] += size[at]
+            holds[parent] = holds[parent] or holds[at] or node.tag in ("article", "main")
+        kept = any(node.tag in ("article", "main") and not gone for node, _, gone in order)
+        for at, (node, _, _) in enumerate(order):
+            # Beside a kept article or main, neither teasers in a sidebar nor long comments are rescued.
+            if node.mark != _PLAIN and self.drops(node) and (2 * size[at] > size[0] and (node.inside or not kept) or holds[at] and not kept):
+                self.rescued.add(id(node))
+
+    def drops(self, node: Node) -> bool:
+        if node.mark == _GONE:
+            low = True
+        elif self.low is None:
+            low = node.mark == _MARKED
+        else:
+            low = node.id in self.low and (node.mark == _MARKED or not node.inside and node.tag not in ("article", "main"))
+        return low and id(node) not in self.rescued
 
 
 def _squeezed(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-def blocks(root: Node, low: frozenset[str] = frozenset(), article: bool = True) -> list[tuple[str, str]]:
-    """(path, text) of each block that is kept, in page order. low: paths of branches of low importance."""
-    out: list[tuple[str, str]] = []
+def _blocks(top: Node, kept: Kept) -> list[str]:
+    """The texts of the blocks below an element that are kept, in page order."""
+    out: list[str] = []
     held: list[str] = []
 
-    def end(path: str) -> None:
+    def end() -> None:
         if held:
             if text := _squeezed("".join(held)):
-                out.append((path, text))
+                out.append(text)
             held.clear()
 
-    def walk(top: Node) -> None:
-        # By hand, not by recursion: nesting may be deep.
-        work: list = [(top, iter(top.children))]
-        while work:
-            node, rest = work[-1]
-            child = next(rest, None)
-            if child is None:
-                if node.tag in _BLOCK:
-                    end(node.path)
-                work.pop()
-            elif isinstance(child, str):
-                held.append(child)
-            elif child.tag == "br":
-                held.append(" ")
-            elif not (child.drop or child.path in low):
-                if child.tag in _BLOCK:
-                    end(node.path)
-                work.append((child, iter(child.children)))
-        end(top.path)
-
-    tops = _articles(root, low) if article else []
-    for top in tops or [root]:
-        walk(top)
+    work: list = [(top, iter(top.children))]  # by hand, not by recursion: nesting may be deep
+    while work:
+        node, rest = work[-1]
+        child = next(rest, None)
+        if child is None:
+            if node.tag in _BLOCK:
+                end()
+            work.pop()
+        elif isinstance(child, str):
+            held.append(child)
+        elif child.tag == "br":
+            held.append(" ")
+        elif not kept.drops(child):
+            if child.tag in _BLOCK:
+                end()
+            work.append((child, iter(child.children)))
+    end()
     return out
 
 
-def _articles(root: Node, low: frozenset[str]) -> list[Node]:
-    """The outermost article elements that are kept, or else main elements: where a page has them, its text is theirs."""
+def _articles(root: Node, kept: Kept) -> list[Node]:
+    """The outermost article elements that are kept, or else main elements."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     work = [root]
     while work:
@@ -198,85 +222,115 @@ def _articles(root: Node, low: frozenset[str]) -> list[Node]:
             found[node.tag].append(node)
             if node.tag == "article":
                 continue
-        work += [c for c in reversed(node.children) if isinstance(c, Node) and not (c.drop or c.path in low)]
+        work += [c for c in reversed(node.children) if isinstance(c, Node) and not kept.drops(c)]
     return found["article"] or found["main"]
 
 
-def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
-    return "\n".join(text for _, text in blocks(parse(page), low))
+def main_text(page: str, low: frozenset[int] | None = None) -> str:
+    """The blocks of the page's articles (or main elements), if these hold at least half of the text that is kept; else of the whole page."""
+    root = parse(page)
+    kept = Kept(root, low)
+    whole = _blocks(root, kept)
+    if tops := _articles(root, kept):
+        parts = [text for top in tops for text in _blocks(top, kept)]
+        if 2 * sum(map(len, parts)) >= sum(map(len, whole)):
+            return "\n".join(parts)
+    return "\n".join(whole)
 
 
-def features(page: str) -> set[tuple[str, bool, int]]:
-    """What a page adds to its site's tree: (path, is text, hash of the style or of the text), each once."""
-    root, out = parse(page), set()
-    work = [root]
-    while work:
+def features(page: str) -> list[tuple[int, int, int, int]]:
+    """What a page adds to its site's tree: (node, mark, hash of its style, hash of its content), once for each path.
+
+    Equal names beside one another count once in a style, so that one paragraph more is no other style. Elements at one
+    path are taken together: their styles as a set, their contents one after the other."""
+    root = parse(page)
+    style, content, marks = {}, {}, {}
+    order, work = [], [root]
+    while work:  # parents first
         node = work.pop()
-        if node.drop:
-            continue
-        names = [c.name if isinstance(c, Node) else "#" for c in node.children if isinstance(c, Node) or not c.isspace()]
-        style = [x for i, x in enumerate(names) if not i or x != names[i - 1]]
-        if node.path and style:
-            out.add((node.path, False, xxh64_intdigest(" ".join(style).encode("utf-8", "replace")) - (1 << 63)))
-        work += [c for c in node.children if isinstance(c, Node)]
-    for path, text in blocks(root, article=False):
-        if path:
-            out.add((path, True, xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)))
-    return out
+        order.append(node)
+        work += reversed([c for c in node.children if isinstance(c, Node) and c.tag not in _NO_TEXT and c.children])
+    digest: dict[int, int] = {}
+    for node in reversed(order):
+        names, h = [], 0
+        for c in node.children:
+            if isinstance(c, Node):
+                name, part = c.name, digest.get(id(c), 0)
+            else:
+                words = c.split()
+                name, part = "#" if words else "", xxh64_intdigest(" ".join(words).encode("utf-8", "replace")) if words else 0
+            if name and (not names or names[-1] != name):
+                names.append(name)
+            if part:
+                h = (h * 0x9E3779B97F4A7C15 + part) & _SEED
+        digest[id(node)] = h
+        if names and node is not root:
+            at = node.id
+            marks[at] = node.mark
+            style.setdefault(at, set()).add(xxh64_intdigest(" ".join(names).encode("utf-8", "replace")))
+            content[at] = (content.get(at, 0) * 0x9E3779B97F4A7C15 + h) & _SEED
+    return [(at, marks[at], (sum(style[at]) & _SEED) - (1 << 63), content[at] - (1 << 63)) for at in style if marks[at] != _GONE]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in row_slices(batches, "html"):
-        host, path, text, value = [], [], [], []
+        host, rows = [], []
         for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for p, t, v in features(page):
-                host.append(h)
-                path.append(p)
-                text.append(t)
-                value.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(text, pa.bool_()), pa.array(value, pa.int64())], ["host", "path", "is_text", "value"])
+            got = features(page)
+            rows += got
+            host += [h] * len(got)
+            if len(rows) > 1 << 18:
+                yield _batch(host, rows)
+                host, rows = [], []
+        yield _batch(host, rows)
 
 
-def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, low): the paths of low importance of each host, from pages (host, html).
+def _batch(host: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["host", "node", "mark", "style", "content"])
+
+
+def branch_importance(pages: DataFrame) -> DataFrame:
+    """(host, node, mark, pages, importance) of each branch, from pages (host, html).
 
     Copies of a page count once: pages are grouped by host and hash first, or one page under many urls would pass for what
-    the host's pages share. Counts are combined before the shuffle and then summed by path, so a hot host is no hot task. The importance of a
-    node with n different pages is the entropy of its values over log n; a branch's is the larger of its own presentation
-    importance and the mean content importance of the text nodes below it, each weighted by its pages.
+    the host's pages share. Values are counted before the shuffle and then summed by node, so a hot host or path is no hot task.
     """
     pages = pages.groupBy("host", F.xxhash64("html").alias("sum")).agg(F.first("html").alias("html")).select("host", "html")
-    seen = pages.mapInArrow(_features, "host string, path string, is_text boolean, value long")
-    counts = seen.groupBy("host", "path", "is_text", "value").agg(F.count(F.lit(1)).alias("n"))
+    seen = pages.mapInArrow(_features, "host string, node long, mark long, style long, content long")
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("v")
+    counts = seen.select("host", "node", "mark", kinds).groupBy("host", "node", "mark", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n")
-    nodes = counts.groupBy("host", "path", "is_text").agg(total.alias("pages"), (F.log(total) - F.sum(F.col("n") * F.log("n")) / total).alias("entropy")).filter(F.col("pages") >= LEAST_PAGES)
-    nodes = written(nodes.select("host", "path", "is_text", "pages", (F.col("entropy") / F.log("pages")).alias("importance")), "nodes")
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    content = nodes.filter("is_text").select("host", "pages", "importance", F.explode(above).alias("path"))
-    content = content.groupBy("host", "path").agg((F.sum(F.col("importance") * F.col("pages")) / F.sum("pages")).alias("content"))
-    own = nodes.filter("not is_text").groupBy("host", "path").agg(F.max("importance").alias("presentation"))
-    both = content.join(own, ["host", "path"], "left")
-    low = both.filter(F.greatest("content", F.coalesce("presentation", F.lit(0.0))) < LEAST_IMPORTANCE)
-    return low.groupBy("host").agg(F.collect_list("path").alias("low"))
+    by = counts.groupBy("host", "node", "mark", "kind").agg(total.alias("pages"), (F.log(total) - F.sum(F.col("n") * F.log("n")) / total).alias("entropy"))
+    share = F.when(F.col("pages") > 1, F.greatest(F.col("entropy"), F.lit(0.0)) / F.log("pages")).otherwise(0.0)
+    nodes = by.groupBy("host", "node", "mark").agg(F.max("pages").alias("pages"), F.avg(share).alias("own"))
+    prior = F.when(F.col("mark") == _PLAIN, 1.0).otherwise(0.0)
+    return nodes.select("host", "node", "mark", "pages", (((F.col("pages") - 1) * F.col("own") + SHRINK * prior) / (F.col("pages") - 1 + SHRINK)).alias("importance"))
+
+
+def low_branches(pages: DataFrame) -> DataFrame:
+    """(host, low): the branches of low importance of each host that has any, from pages (host, html)."""
+    low = F.col("importance") < F.when(F.col("mark") == _PLAIN, LOW).otherwise(HIGH)
+    return branch_importance(pages).filter(low).groupBy("host").agg(F.collect_list("node").alias("low"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each page: its article without what belongs to the site.
 
-    Where a page has article elements (or else main elements), its text is theirs; elsewhere it is the whole body's, less
-    what is dropped. Character references are decoded, white space inside a block becomes one space, blocks are joined by
+    Where article elements (or else main elements) hold half of the text that is kept or more, the text is theirs; elsewhere
+    it is the whole body's, less what is dropped. Character references are decoded, white space inside a block becomes one space, blocks are joined by
     one newline. Null html is empty; the text of an empty page is empty. Null urls belong to one host. Repeated rows are
-    given each; an empty table gives none; other columns are not read. Tags are lower case, entities are HTML 5's.
+    given each; an empty table gives none; other columns are not read. Pages
+    are parsed whole, however long or deep: time and memory grow with their length alone.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col), F.col(url_col), host.alias("__host"), no_null(html_col).alias("__html"))
-    low = written(low_branches(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))), "low-branches")
+    known = written(low_branches(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))), "low-branches").withColumnRenamed("host", "__of")
 
     @F.arrow_udf("string")
     def extracted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for pages, paths in batches:
-            yield pa.array([main_text(p.as_py(), frozenset(x.as_py() or ())) for p, x in zip(pages, paths, strict=True)], pa.string())
+        for pages, low in batches:
+            yield pa.array([main_text(p.as_py(), frozenset(x.as_py() or ())) for p, x in zip(pages, low, strict=True)], pa.string())
 
-    out = rows.join(low.withColumnRenamed("host", "__of"), F.col("__host") == F.col("__of"), "left")
+    out = rows.join(known, F.col("__host") == F.col("__of"), "left")
     return out.select(id_col, url_col, extracted.asNondeterministic()("__html", "low").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
