@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.shared import new_dir, shared_dir, written
 
-__all__ = ["SLICE_BYTES", "new_dir", "no_null", "partitions", "row_slices", "shared_dir", "text_slices", "written"]
+__all__ = ["SLICE_BYTES", "free_names", "hidden", "new_dir", "no_null", "partitions", "row_slices", "shared_dir", "text_slices", "written"]
 
 #: Texts are handled in slices of about so many bytes, which bounds a task's memory whatever the rows' lengths.
 SLICE_BYTES = 4 << 20
@@ -20,6 +20,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(df: DataFrame, *names: str) -> None:
+    """Raises where df has one of the names, in any case of letters, as Spark does not tell them apart."""
+    taken = {c.lower() for c in df.columns}
+    for n in names:
+        if n.lower() in taken:
+            raise ValueError(f"the table has a column {n}")
+
+
+def hidden(df: DataFrame, *names: str) -> list[str]:
+    """A name for each that no column of df has: for columns that an operator adds and drops again."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def no_null(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

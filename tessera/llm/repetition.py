@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import no_null, text_slices
+from tessera.llm.common import free_names, no_null, text_slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -16,13 +16,13 @@ _SYMBOL = re.compile(r"[#*$%&|<>]")
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: The same for characters inside repeated lines, for repeated lines among lines, and for symbols beside words.
 LINE_CHARS_LIMIT, LINES_LIMIT, SYMBOLS_LIMIT = 0.20, 0.30, 0.10
-#: One line that stands at the top and at the end of a short text is no junk: so many repeated lines are needed for LINES_LIMIT,
-#: and so many words in repeats for NGRAM_LIMITS.
+#: The verdict counts repeats that come to so many lines (LINES_LIMIT) or words (NGRAM_LIMITS): one line that stands at the top
+#: and at the end of a short text, or one phrase said twice, is no junk. The measures themselves have no such threshold.
 LEAST_LINES, LEAST_WORDS = 3, 30
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = "struct<" + ", ".join(f"{f}: bigint" for f in FIELDS) + ", ngram_chars: array<double>, line_chars: double, lines: double>"
+SCHEMA = "struct<" + ", ".join(f"{f}: bigint" for f in FIELDS) + ", ngram_chars: array<double>, ngram_words: array<bigint>, line_chars: double, lines: double>"
 
 
 def _repeated(values: np.ndarray) -> np.ndarray:
@@ -46,8 +46,22 @@ def _covered(repeated: np.ndarray, n: int, words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _rolled(ids: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, a hash of each n words in a row), by rising n: h(i, n) = h(i, n - 1) * base + word(i + n - 1), mixed once more for use."""
+    word = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
+    word ^= word >> np.uint64(29)
+    h, n = word.copy(), 1
+    for order in sorted(orders):
+        while n < order and len(h):
+            h = h[:-1] * _BASE + word[n:]
+            n += 1
+        if n == order:
+            mixed = h * _MIX
+            yield order, mixed ^ mixed >> np.uint64(31)
+
+
 def measure(text: str, orders: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> tuple:
-    """The FIELDS, then the shares of characters in repeated n-grams of each order, in repeated lines, and of repeated lines."""
+    """The FIELDS; for each order the share of characters, and the words, in n-grams that occurred before; the share of characters in repeated lines, and that of repeated lines."""
     words = WORD.findall(text)
     n = len(words)
     lengths = np.fromiter(map(len, words), np.int64, n)
@@ -65,57 +79,48 @@ def measure(text: str, orders: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> tuple:
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
     # Three-word windows by exact numbers: a pair's rank, then that rank with the third word.
     in_repeats = 0
-    shares = [0.0] * len(orders)
+    shares, inside = [0.0] * len(orders), [0] * len(orders)
     if n > 3:
         rank = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
         found = _repeated(rank[:-1] * len(number) + ids[2:])
         if found.any():
             in_repeats = int(_covered(found, 3, n).sum())
-            # A longer window can repeat only where its first three words do. Rolling hash: h(i, n) = h(i, n - 1) * base + id(i + n - 1).
-            mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
-            for k, order in enumerate(orders):
-                if n < order:
-                    break
-                start = np.flatnonzero(found[: n - order + 1])
-                if len(start) < 2:
-                    break
-                h = np.zeros(len(start), np.uint64)
-                for j in range(order):
-                    h = h * _BASE + mixed[start + j]
-                    h ^= h >> np.uint64(29)
-                hit = np.zeros(n - order + 1, bool)
-                hit[start[_again(h)]] = True
-                if not hit.any():
-                    break
-                covered = _covered(hit, order, n)
-                if covered.sum() >= LEAST_WORDS:
-                    shares[k] = float(lengths[covered].sum() / chars)
-    return n, chars, symbols, repeats, in_repeats, shares, line_chars, repeats / len(lines) if lines else 0.0
-
-
-def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repetition") -> DataFrame:
+            for order, h in _rolled(ids, orders):
+                # A longer window can repeat only where its first three words do.
+                start = np.flatnonzero(found[: len(h)]) if order >= 3 else np.arange(len(h))
+                start = start[_again(h[start])]
+                if len(start):
+                    hit = np.zeros(len(h), bool)
+                    hit[start] = True
+                    covered = _covered(hit, order, n)
+                    k = orders.index(order)
+                    shares[k], inside[k] = float(lengths[covered].sum() / chars), int(covered.sum())
+    return n, chars, symbols, repeats, in_repeats, shares, inside, line_chars, repeats / len(lines) if lines else 0.0
+
+
+def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repetition", least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES) -> DataFrame:
     """docs with a struct column of that name added: FIELDS, shares of repetition, base_failed and kept.
 
     base_failed: fewer than 50 words, or over half of the words in three-word windows that occur twice or more.
     kept: not base_failed, and no share above its limit (NGRAM_LIMITS, LINE_CHARS_LIMIT, LINES_LIMIT; symbols at most
-    SYMBOLS_LIMIT of the words), where the repeats come to LEAST_WORDS words or LEAST_LINES lines. Each row is measured alone: no shuffle, all rows kept, memory bound by one text.
-    Null texts have no words: base_failed. Repeated rows get equal results. name must not be a column of docs.
+    SYMBOLS_LIMIT of the words), where repeats count for the verdict from least_words words or least_lines lines on.
+    ngram_words holds how many words each order's repeats cover. Each row is measured alone and whole: no shuffle, all
+    rows kept, memory bound by one text. Null texts have no words: base_failed. Repeated rows get equal results; an empty
+    table gives an empty one. name must not be a column of docs, in any case of letters; all its columns stay.
     """
-    if name in docs.columns:
-        raise ValueError(f"docs has a column {name}")
+    free_names(docs, name)
 
     @F.arrow_udf(SCHEMA)
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = [measure(t) for part in text_slices(texts) for t in part]
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            yield pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.float64())), pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.float64())], [*FIELDS, "ngram_chars", "line_chars", "lines"])
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.float64())), pa.array(cols[6], pa.list_(pa.int64())), pa.array(cols[7], pa.float64()), pa.array(cols[8], pa.float64())], [*FIELDS, "ngram_chars", "ngram_words", "line_chars", "lines"])
 
-    m = F.col("__m")
+    m = F.col(name)
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    over = (m["line_chars"] > LINE_CHARS_LIMIT) | ((m["lines"] > LINES_LIMIT) & (m["n_dup_lines"] >= LEAST_LINES)) | (m["n_symbols"] > SYMBOLS_LIMIT * m["n_words"])
+    over = (m["line_chars"] > LINE_CHARS_LIMIT) | ((m["lines"] > LINES_LIMIT) & (m["n_dup_lines"] >= least_lines)) | (m["n_symbols"] > SYMBOLS_LIMIT * m["n_words"])
     for k, limit in enumerate(NGRAM_LIMITS.values()):
-        over = over | (m["ngram_chars"][k] > limit)
-    out = docs.withColumn("__m", measured.asNondeterministic()(no_null(text_col)))
-    fields = [m[f].alias(f) for f in (*FIELDS, "ngram_chars", "line_chars", "lines")]
-    return out.withColumn(name, F.struct(*fields, failed.alias("base_failed"), (~failed & ~over).alias("kept"))).drop("__m")
+        over = over | ((m["ngram_chars"][k] > limit) & (m["ngram_words"][k] >= least_words))
+    fields = [m[f].alias(f) for f in (*FIELDS, "ngram_chars", "ngram_words", "line_chars", "lines")]
+    return docs.withColumn(name, measured.asNondeterministic()(no_null(text_col))).withColumn(name, F.struct(*fields, failed.alias("base_failed"), (~failed & ~over).alias("kept")))
