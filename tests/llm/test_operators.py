@@ -10,7 +10,6 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tessera.llm import line_chunks
 from tessera.llm.binary_packing import binary_lengths, pack_binary, write_buckets
 from tessera.llm.containment import contained_items, words_of
 from tessera.llm.encoding import Encoder
@@ -253,12 +252,39 @@ def test_items_in_several_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in contained_items(df, bench).collect()) == [(i, i) for i in range(9)]
 
 
+def brute_chunks(text, chunk_words=10, long_words=50):
+    """Every chunk by the rule as the docstrings state it: a boundary after a line where the hash of two lines says so, and the shortest runs of 50 words."""
+    lines = text.split("\n")
+    words = [len(x.split()) for x in lines]
+    h = [xxhash.xxh64(x.encode()).intdigest() for x in lines]
+    out, first = set(), 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or words[i] >= long_words:
+            if i - first > 1 and sum(words[first:i]) >= chunk_words:
+                out.add((first, i - first))
+            if i < len(lines):
+                out.add((i, 1))
+            first = i + 1
+        elif i > first and (i + 1 - first >= 64 or (h[i - 1] * 0x9E3779B97F4A7C15 + h[i]) % (1 << 64) >> 32 & 1 == 0):
+            if sum(words[first : i + 1]) >= chunk_words:
+                out.add((first, i + 1 - first))
+            first = i + 1
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines) + 1):
+            if sum(words[i:j]) >= long_words:
+                if j == i + 1 or sum(words[i : j - 1]) < long_words:  # shortest from its first line
+                    out.add((i, j - i))
+                if j == i + 1 or sum(words[i + 1 : j]) < long_words:  # shortest to its last line
+                    out.add((i, j - i))
+    return sorted(out)
+
+
 def brute_dedup(rows):
     seen, gone = {}, defaultdict(set)
     order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
     for i, t in order:
         lines = t.split("\n")
-        for first, n in line_chunks.chunks(t):
+        for first, n in brute_chunks(t):
             chunk = "\n".join(lines[first : first + n])
             if chunk in seen:
                 gone[i, t].update(range(first, first + n))
@@ -287,6 +313,10 @@ def test_line_dedup(spark, none):
     one = drop_repeated_chunks(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert (one["dedup"]["text"], one["dedup"]["n_lines"], one["dedup"]["n_removed"]) == (None, 0, 0)
     assert drop_repeated_chunks(none).count() == 0
+    few = spark.createDataFrame([(i, "a b c d e\nf g h i j", 1, 2) for i in range(3)], "doc_id long, text string, __sum int, __gone int")
+    assert sorted((r["doc_id"], r["dedup"]["text"], r["__sum"], r["__gone"]) for r in drop_repeated_chunks(few).collect()) == [(0, "a b c d e\nf g h i j", 1, 2), (1, "", 1, 2), (2, "", 1, 2)]
+    with pytest.raises(ValueError):
+        drop_repeated_chunks(few.withColumnRenamed("__sum", "Dedup"))
     # One long shared line goes wherever it stands, and the first document keeps it.
     assert len({r["doc_id"] for r in got.collect() if shared[1][0] in r["dedup"]["text"]}) == 1
 
