@@ -26,7 +26,7 @@ _MAGIC = b"TOKFILE1"
 
 class _Writer:
     def __init__(self, folder: str, number: int, vocabulary: int):
-        self.file, self.number, self.vocabulary = ShardFile(folder, number, ".tok"), number, vocabulary
+        self.file, self.number, self.vocabulary = ShardFile(folder, TaskContext.get().partitionId(), number, ".tok"), number, vocabulary
         self.held, self.n_held, self.blocks, self.docs, self.known, self.counts, self.n = [], 0, [], [], [], [], 0
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:

@@ -2,12 +2,15 @@
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import no_null, partitions, row_slices, written
@@ -22,23 +25,30 @@ def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _one_line(s: str) -> str:
-    return "".join(s.split())
+def _uri(url: str) -> str:
+    """The url with what may not stand in a header (white space, control signs, signs beyond ASCII) percent-encoded."""
+    return quote(url.encode("utf-8", "replace"), safe="".join(map(chr, range(33, 127))))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def record_id(page_id: int | None, payload_sum: str, again: int) -> str:
+    """A name-based UUID: of the page's id, its payload's hash, and how many rows with both stand before."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {page_id} {payload_sum} {again}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, payload_sum: str, again: int, refers_to: int | None, date: str) -> bytes:
     """A record with regenerated headers and digests. refers_to: None for a response, else the response's page_id."""
     block = _HTTP.format(len(payload)).encode() + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {record_id(page_id, payload_sum, again)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {_one_line(url or '')}",
+        *([] if url is None else [f"WARC-Target-URI: {_uri(url)}"]),
         f"WARC-Payload-Digest: sha1:{_sha1(payload)}",
         f"WARC-Block-Digest: sha1:{_sha1(block)}",
+        *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
         f"X-Payload-Length: {len(payload)}",
-        *([] if refers_to is None else [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]),
+        *([] if refers_to is None else [f"WARC-Refers-To: {record_id(refers_to, payload_sum, 0)}", f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {_PROFILE}"]),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -50,44 +60,76 @@ def _gzip(data: bytes, level: int) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 256 << 20, min_revisit_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", level: int = 6) -> DataFrame:
+def _edges(sizes: DataFrame, shards: int) -> list[int]:
+    """Ids at which shards 1, 2, ... begin, so that each holds about as many bytes: the same for the same rows.
+
+    The rows (id, size) are sorted by ranges of Spark's choice, which differ from run to run; but the bytes before each id,
+    summed over the ranges and within them, do not, and they alone place the edges. One id for each edge comes to the driver.
+    """
+    spark = sizes.sparkSession
+    by = sizes.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"))
+    by = written(by.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()), "sorted-ids")
+    parts = by.groupBy("part").agg(F.sum("size").alias("total"))
+    upto = F.sum("total").over(Window.orderBy("part"))  # one row for each partition
+    parts = parts.select("part", (upto - F.col("total")).alias("before"), F.max(upto).over(Window.partitionBy()).alias("all"))
+    inside = F.sum("size").over(Window.partitionBy("part").orderBy("id")) - F.col("size")
+    starts = by.withColumn("inside", inside).join(F.broadcast(parts), "part")
+    starts = starts.select("id", F.floor((F.col("before") + F.col("inside")) * shards / F.greatest(F.col("all"), F.lit(1))).alias("shard"))
+    return sorted(r["id"] for r in starts.groupBy("shard").agg(F.min("id").alias("id")).filter("shard > 0").collect())
+
+
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 256 << 20, min_revisit_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", level: int = 6, shards: int | None = None) -> DataFrame:
     """Writes each page as a record, one gzip member each; returns the manifest (shard, number, file, records, bytes, sha1).
 
-    Records are sorted by page_id and range-partitioned; a new file begins where one exceeds roll_bytes. The same rows
-    and partition count give the same bytes: headers hold no clock, host or random ids. Payloads (UTF-8, null: empty)
-    of at least min_revisit_bytes that are equal are kept once, at the largest page_id; the others become revisits of
-    it. Rows that repeat that largest id, with the same payload, are responses as well. Null ids and urls become empty
-    fields; a null id is a response only if no other row has its payload, else it revisits. Equal payloads are told by
-    SHA-256 and length, so that the SHA-1 of the format need not be trusted. Other columns are not read.
+    Records are sorted by page_id and dealt to shards (default: as many as shuffle partitions) at edges that depend on the
+    rows alone; a new file begins where one exceeds roll_bytes. The same rows and number of shards give the same files, name
+    by name and byte by byte: headers hold no clock, host or random ids. Payloads (UTF-8, null: empty) of at least
+    min_revisit_bytes that are equal are kept once, at the largest page_id; the others become revisits of it. Rows that
+    repeat that largest id, with the same payload, are responses as well. Null ids and urls have no header; a null id is a
+    response only if no other row has its payload, else it revisits. Record ids are unique, repeated rows included.
+    Equal payloads are told by SHA-256 and length, so that the SHA-1 of the format need not be trusted. A page is one record
+    however long; an empty table gives no files. Other columns are not read.
     """
     spark = pages.sparkSession
+    shards = shards or partitions(spark)
     html = no_null(html_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("sum"), F.octet_length(html).alias("size"))
-    # Only ids and sums are grouped and joined; the pages themselves move once, to their range.
-    known = rows.filter(F.col("size") >= min_revisit_bytes).select("id", "sum", "size")
-    groups = known.groupBy("sum", "size").agg(F.max("id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept is not null")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("sum"), F.octet_length(html).cast("long").alias("size"))
+    # Only ids and sums are grouped and joined; the pages themselves move once, to their shard.
+    known = written(rows.select("id", "sum", "size"), "page-sums")
+    groups = known.filter(F.col("size") >= min_revisit_bytes).groupBy("sum", "size").agg(F.max("id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept is not null")
     marks = written(known.join(groups, ["sum", "size"]).filter(~F.col("id").eqNullSafe(F.col("kept"))).select("id", "sum", "kept").distinct(), "revisits")
+    edges = np.array(_edges(known, shards), np.int64)
+
+    @F.arrow_udf("int")
+    def shard_of(ids: pa.Array) -> pa.Array:
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, pc.fill_null(ids, 0).to_numpy(), side="right")).astype(np.int32))
+
     both = rows.select("id", "sum", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("kept")).unionByName(marks.select("id", "sum", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "kept"))
-    both = both.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "sum", "kind", "url")
+    both = both.withColumn("shard", shard_of("id")).repartition(shards, "shard").sortWithinPartitions("shard", "id", "sum", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, number, count, total, mark = None, 0, 0, hashlib.sha1(), (None, None, None)
+        file, now, number, count, mark, last, again = None, -1, 0, 0, (None, None, None), None, 0
 
         def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "number": pa.array([number], pa.int64()), "file": [file.close()], "records": pa.array([count], pa.int64()), "bytes": pa.array([file.bytes], pa.int64()), "sha1": [total.hexdigest()]})
+            name = file.close()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int64()), "number": pa.array([number], pa.int64()), "file": [name], "records": pa.array([count], pa.int64()), "bytes": pa.array([file.bytes], pa.int64()), "sha1": [file.sum.hexdigest()]})
 
         for b in row_slices(batches, "html"):
-            for id_, sum_, kind, url, text, kept in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+            for id_, sum_, kind, url, text, kept, shard in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
                 if kind == 0:
                     mark = (id_, sum_, kept)
                     continue
-                data = _gzip(record(id_, url, text.encode("utf-8", "replace"), mark[2] if mark[:2] == (id_, sum_) else None, date), level)
-                if file and file.bytes + len(data) > roll_bytes:
+                again = again + 1 if (id_, sum_) == last else 0
+                last = (id_, sum_)
+                data = _gzip(record(id_, url, text.encode("utf-8", "replace"), sum_, again, mark[2] if mark[:2] == last else None, date), level)
+                if file and (shard != now or file.bytes + len(data) > roll_bytes):
                     yield closed()
-                    file, number, count, total = None, number + 1, 0, hashlib.sha1()
-                file = file or ShardFile(folder, number, ".warc.gz")
+                    file, number, count = None, number + 1 if shard == now else 0, 0
+                elif shard != now:
+                    number = 0
+                now = shard
+                file = file or ShardFile(folder, shard, number, ".warc.gz")
                 file.write(data)
-                total.update(data)
                 count += 1
         if file:
             yield closed()
@@ -124,12 +166,12 @@ def parse_record(data: bytes) -> dict:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if response and digest != _sha1(payload):
         raise ValueError("a record does not match its payload digest")
-    number = lambda s: int(x) if (x := s[len("<urn:page:") : -1]) else None
-    return {"id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "payload": payload if response else None, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": None if response else number(fields["WARC-Refers-To"])}
+    number = lambda name: int(fields[name]) if name in fields else None
+    return {"id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload": payload if response else None, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page"), "record_id": fields["WARC-Record-ID"]}
 
 
 def read_warc(spark: SparkSession, folder: str, id_col: str = "page_id") -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each record that the manifest's files hold; digests are checked."""
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, record_id) of each record that the manifest's files hold; digests are checked."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,6 +187,6 @@ def read_warc(spark: SparkSession, folder: str, id_col: str = "page_id") -> Data
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string())])
     files = manifest(spark, folder).select("file").repartition(partitions(spark), "file")
-    return files.mapInArrow(read, "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long").withColumnRenamed("id", id_col)
+    return files.mapInArrow(read, "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string").withColumnRenamed("id", id_col)

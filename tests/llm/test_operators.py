@@ -391,8 +391,15 @@ def test_warc(spark, tmp_path):
         assert {r["page_id"]: r["refers_to"] for r in got} == {1: 5, 3: 5, 5: None, 2: None, 4: 8, 8: None, 9: None}
         assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) for r in got)
         assert files.agg({"records": "sum"}).first()[0] == len(rows)
-    again = write_warc(df, f"file://{tmp_path}/c", roll_bytes=100)
-    key = lambda f: sorted((r["shard"], r["number"], r["sha1"]) for r in f.collect())
-    assert key(again) == key(files)
+        assert len({r["record_id"] for r in got}) == len(rows)
+        assert {r["page_id"]: r["url"] for r in got} == {1: "http://a/1", 5: "http://a/5", 3: "http://b", 2: "http://c", 4: None, 8: "http://d%0D%0Ax", 9: "u"}
+    again = write_warc(df.repartition(5), f"file://{tmp_path}/c", roll_bytes=100)
+    key = lambda f: sorted((r["shard"], r["number"], r["file"], r["sha1"]) for r in f.collect())
+    assert key(again) == key(files) and len({r["file"] for r in files.collect()}) == files.count()
+    many = spark.range(3000).selectExpr("(id * 7919) % 3001 page_id", "concat('http://x/', id) url", "repeat(string(id), 1 + id % 50) html")
+    one, two = (write_warc(many.repartition(n), f"file://{tmp_path}/m{n}") for n in (2, 7))
+    assert key(one) == key(two) and one.count() == 8 and max(r["records"] for r in one.collect()) < 1000
+    ids = [[x["page_id"] for x in read_warc(spark, f"file://{tmp_path}/m2").collect()]]
+    assert sorted(ids[0]) == sorted(r["page_id"] for r in many.collect())
     write_warc(df.limit(0), f"file://{tmp_path}/d")
     assert read_warc(spark, f"file://{tmp_path}/d").count() == 0
