@@ -14,29 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import no_null, text_slices
+from tessera.llm.licence_notices import TEMPLATES
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases whose words in a row name a licence.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Well-known notices of public licences, by label.
-TEMPLATES = {
-    "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "gpl-2": "this work is licensed under the gnu general public license version 2",
-    "gpl-3": "this work is licensed under the gnu general public license version 3",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
-}
 #: A run counts from so many words; runs of a chain lie at most GAP words apart; a chain names its template when it covers COVER of it.
+#: A span's share is what is covered of the template or of the span, whichever is longer.
+#: Of spans that share over half of the shorter one the one of the largest share stays (of equal shares the longest, then all).
 RUN, GAP, COVER = 5, 12, 0.8
 
 
 class SuffixAutomaton:
-    """Of several word sequences. ends[s]: for each template that holds the state's runs, the place where the run first ends."""
+    """Of several word sequences. ends[s]: for each template that holds the state's runs, the place where the run first ends.
+
+    held[s] adds those that hold only a shorter end of the state's runs: template to (its longest, the place where it first ends).
+    """
 
     def __init__(self, sequences: list[list[int]]):
         self.next, self.link, self.length, self.ends = [{}], [-1], [0], [{}]
@@ -50,6 +43,9 @@ class SuffixAutomaton:
                 while state > 0 and t not in self.ends[state]:
                     self.ends[state][t] = i
                     state = self.link[state]
+        self.held: list[dict] = [{}] * len(self.next)
+        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):  # links are shorter
+            self.held[s] = self.held[self.link[s]] | {t: (self.length[s], i) for t, i in self.ends[s].items()}
 
     def _new(self, length: int, link: int, following: dict) -> int:
         self.next.append(following)
@@ -99,15 +95,16 @@ class _Numbers(dict):
 
 
 class LicenceScan:
-    def __init__(self, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES):
-        cut = lambda s: _WORD.findall(s.encode())
+    def __init__(self, phrases: dict[str, str] = PHRASES, templates: dict[str, tuple[str, ...]] = TEMPLATES):
+        cut = lambda s: _WORD.findall(s.encode("utf-8", "replace").lower())
         self.number = _Numbers()
-        for s in (*phrases, *templates.values()):
+        flat = [(label, text) for label, texts in templates.items() for text in texts]
+        for s in (*phrases, *(text for _, text in flat)):
             for w in cut(s):
                 self.number.setdefault(w, len(self.number))
         self.phrases = [(np.array([self.number[w] for w in cut(s)]), label) for s, label in phrases.items()]
-        self.labels = list(templates)
-        sequences = [[self.number[w] for w in cut(s)] for s in templates.values()]
+        self.labels = [label for label, _ in flat]
+        sequences = [[self.number[w] for w in cut(text)] for _, text in flat]
         self.sizes = [len(s) for s in sequences]
         self.automaton = SuffixAutomaton(sequences)
 
@@ -136,11 +133,13 @@ class LicenceScan:
         long = ends - begins >= RUN
         runs: dict[int, list[tuple[int, int, int]]] = {}
         for b, e in zip(begins[long].tolist(), ends[long].tolist(), strict=True):
-            held = [*self.automaton.statistics(ids[b:e].tolist()), (0, 0)]
-            for i, (size, state) in enumerate(held[:-1]):
-                if size >= RUN and held[i + 1][0] != size + 1:
-                    for t, end in self.automaton.ends[state].items():
-                        runs.setdefault(t, []).append((b + i + 1 - size, size, end + 1 - size))
+            going: dict[int, tuple[int, int]] = {}  # of each template the run that ends here, and where it ends there
+            for i, (size, state) in enumerate([*self.automaton.statistics(ids[b:e].tolist()), (0, 0)]):
+                now = {t: (min(n, size), end) for t, (n, end) in self.automaton.held[state].items() if min(n, size) >= RUN} if size >= RUN else {}
+                for t, (n, end) in going.items():
+                    if now.get(t, (0,))[0] != n + 1:
+                        runs.setdefault(t, []).append((b + i - n, n, end + 1 - n))
+                going = now
         out = []
         for t, found in runs.items():
             chains: list[list[int]] = []  # first place, place behind it, place behind it in the template, covered
@@ -153,8 +152,15 @@ class LicenceScan:
                             break
                 else:
                     chains.append([at, at + size, there + size, size])
-            out += [(self.labels[t], c[0], c[1] - 1, c[3] / self.sizes[t]) for c in chains if c[3] >= COVER * self.sizes[t]]
-        return sorted(out, key=lambda s: (s[1], s[0]))
+            out += [(self.labels[t], c[0], c[1] - 1, c[3] / max(self.sizes[t], c[1] - c[0])) for c in chains if c[3] >= COVER * self.sizes[t]]
+        return sorted((s for s in set(out) if not any(_beats(o, s) for o in out)), key=lambda s: (s[1], s[0], s[2]))
+
+
+def _beats(a: tuple, b: tuple) -> bool:
+    """Whether span a makes span b needless."""
+    shared = min(a[2], b[2]) - max(a[1], b[1]) + 1
+    long_a, long_b = a[2] - a[1], b[2] - b[1]
+    return 2 * shared > min(long_a, long_b) + 1 and (a[3], long_a) > (b[3], long_b)
 
 
 _SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("share", pa.float64())])
@@ -162,14 +168,14 @@ _FIELDS = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.in
 SCHEMA = "struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base_labels: string, labels: string, score: double, spans: array<struct<label: string, first_word: bigint, last_word: bigint, share: double>>>"
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for each row of docs.
 
     Words are those of _WORD after A-Z are lower-cased, and are counted from 0. n_base counts all places of all phrases,
     first_word and last_word are the smallest and the largest start (null if none). labels adds the templates that a
-    chain covers to the share COVER; score is 1 if a phrase was found, else the best chain's share, else 0. Each text is
+    chain covers to the share COVER (of spans over the same words the best covered); score is 1 if a phrase was found, else the best chain's share, else 0. Each text is
     scanned alone and whole: no shuffle. Null texts are empty: no words, empty labels, score 0. Repeated rows get equal
-    results; an empty table gives none; other columns are not read.
+    results; an empty table gives none; other columns are not read. templates: texts by label, see licence_notices.
     """
 
     @F.arrow_udf(SCHEMA)
