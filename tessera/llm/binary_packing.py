@@ -77,6 +77,10 @@ def pack_binary(docs: DataFrame, tokenizer: str, end_id: int, max_length: int =
     return rows.mapInArrow(pack, schema)
 
 
-def write_buckets(sequences: DataFrame, path: str) -> None:
-    """Sequences as Parquet, one folder for each length, for loaders that fill batches from one bucket at a time."""
+def write_buckets(sequences: DataFrame, path: str) -> DataFrame:
+    """Sequences as Parquet, one folder for each length, for loaders that fill batches from one bucket at a time; returns the table there.
+
+    Each task writes its own file into each folder: no shuffle, and no bucket, however large, is one task's."""
     sequences.write.partitionBy("bucket").parquet(path)
+    columns = [f for f in sequences.schema if f.name != "bucket"]
+    return sequences.sparkSession.read.schema(T.StructType([*columns, sequences.schema["bucket"]])).parquet(path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.binary_packing import pack_binary
+from tessera.llm.binary_packing import pack_binary, write_buckets
 from tessera.llm.common import new_dir
 from tessera.llm.containment import contained_items
 from tessera.llm.gray_simhash import near_duplicates
@@ -41,8 +41,9 @@ def op3_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack_binary(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, max_length=2048)
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    sequences = pack_binary(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, max_length=2048)
+    out = write_buckets(sequences, new_dir(spark, "buckets"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
