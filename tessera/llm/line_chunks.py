@@ -150,7 +150,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     is broadcast: the plan is the same at every size.
     """
     free_names(docs, name)
-    sum_, id_, key_, gone_, new_ = hidden(docs, "sum", "id", "key", "gone", "new")
+    sum_, id_, key_, gone_, new_ = hidden(docs.withColumn(name, F.lit(0)), "sum", "id", "key", "gone", "new")
     key = F.xxhash64(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     id_type = rows.schema["id"].dataType.simpleString()

@@ -11,7 +11,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tessera.llm.binary_packing import binary_lengths, pack_binary, write_buckets
-from tessera.llm.containment import contained_items, words_of
+from tessera.llm.containment import contained_items
 from tessera.llm.encoding import Encoder
 from tessera.llm.gray_simhash import GrayIndex, components, keep_one, near_duplicates
 from tessera.llm.license_automaton import SuffixAutomaton, scan_licences
@@ -83,7 +83,10 @@ def test_packing(docs, none, tmp_path):
             made[r["doc_id"], tuple(parts)] += 1
     assert made == want
     assert binary_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
-    write_buckets(got, str(tmp_path / "b"))
+    buckets = write_buckets(got, str(tmp_path / "b"))
+    key = lambda df: Counter((r["doc_id"], r["start"], r["bucket"], bytes(r["ids"])) for r in df.collect())
+    assert key(buckets) == key(got) and all(r["length"] == 1 << r["bucket"] for r in buckets.collect())
+    assert {p.name for p in (tmp_path / "b").glob("bucket=*")} == {f"bucket={r['bucket']}" for r in rows}
     assert pack_binary(none, WORD_BPE, 1).count() == 0
     with pytest.raises(ValueError):
         pack_binary(docs, WORD_BPE, 1, 100)
@@ -212,7 +215,12 @@ def test_repetition(spark, docs, none):
     assert got == {1: True, 2: False, 3: False}
 
 
-def test_containment(spark, none):
+@pytest.mark.parametrize("block", [8 << 20, 60])
+def test_containment(spark, none, monkeypatch, block):
+    from tessera.llm import containment
+
+    monkeypatch.setattr(containment, "BLOCK_BYTES", block)  # 60: items are joined
+    words_of = lambda t: re.findall(r"[^\W_]+", t.lower())
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(3000)}"
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([5, 6, 12, 20, 33, 64, 90, 200])] + [(50, "Two Words"), (51, ""), (52, None), (53, "one")]
@@ -243,13 +251,15 @@ def test_containment(spark, none):
     assert contained_items(none, bench).count() == 0 and contained_items(df, bench.limit(0)).count() == 0
 
 
-def test_items_in_several_blocks(spark, monkeypatch):
+def test_no_items_come_to_the_driver_beyond_a_block(spark, monkeypatch):
     from tessera.llm import containment
 
     monkeypatch.setattr(containment, "BLOCK_BYTES", 60)
+    collected = []
+    monkeypatch.setattr(containment, "_search", lambda ids, *_: collected.append(ids))
     bench = spark.createDataFrame([(i, f"alpha{i} beta gamma{i} delta epsilon{i} zeta") for i in range(9)], "item_id long, text string")
     df = spark.createDataFrame([(i, f"before alpha{i} beta gamma{i} delta epsilon{i} zeta after") for i in range(9)], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["item_id"]) for r in contained_items(df, bench).collect()) == [(i, i) for i in range(9)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in contained_items(df, bench).collect()) == [(i, i) for i in range(9)] and not collected
 
 
 def brute_chunks(text, chunk_words=10, long_words=50):
