@@ -20,6 +20,10 @@ class Frame:
     def read(cls, spark: SparkSession, path: str, **options) -> "Frame":
         return cls(files.read(spark, path, **options))
 
+    @classmethod
+    def empty(cls, spark: SparkSession, ddl: str) -> "Frame":
+        return cls(spark.createDataFrame([], ddl))
+
     def join(self, right: "Frame | DataFrame", key: str | list[str], how: str = "left", **options) -> "Frame":
         return Frame(relational.join(self.df, right.df if isinstance(right, Frame) else right, key, how, **options))
 
@@ -44,6 +48,27 @@ class Frame:
     def collect(self) -> list[dict]:
         return [r.asDict(True) for r in self.df.collect()]
 
+    def example(self, n: int = 1, **equal) -> list[dict]:
+        """A few rows, of those with the given values."""
+        df = relational.where(self.df, **equal) if equal else self.df
+        return [r.asDict(True) for r in df.take(n)]
+
+    def show(self, n: int = 10) -> str:
+        """The shape and the first rows, as a text."""
+        rows = "\n".join(str(r) for r in self.example(n))
+        return f"{self.shape()}\n{rows}"
+
+    def shape(self) -> tuple[int, int]:
+        return self.df.count(), len(self.df.columns)
+
+    def assert_not_empty(self) -> "Frame":
+        if self.df.isEmpty():
+            raise ValueError("the frame is empty")
+        return self
+
+    def to_pairs(self, key: str, value: str) -> "Frame":
+        return Frame(relational.pairs(self.df, key, value))
+
     def count(self) -> int:
         return self.df.count()
 

@@ -42,6 +42,12 @@ def nonzero_values(a):
     return F.filter(col(a), lambda x: x.isNotNull() & (x != 0))
 
 
+def numeric_values(a):
+    """The elements that are numbers, or texts of numbers, as numbers; NaN is none."""
+    got = F.transform(col(a), lambda x: x.try_cast("double"))
+    return F.filter(got, lambda x: x.isNotNull() & ~F.isnan(x))
+
+
 def list_minus(a, b):
     """The elements of a that b lacks, with repeats, in order."""
     return F.filter(col(a), lambda x: ~F.array_contains(col(b), x))

@@ -156,6 +156,43 @@ def pair_filter(a, b, condition):
     return F.filter(F.arrays_zip(col(a).alias("a"), col(b).alias("b")), lambda p: condition(p["a"]) & condition(p["b"]))
 
 
+def pair_stat(a, b, function, condition=None):
+    """function of two equally long arrays, of the pairs for which the condition holds for both if one is given."""
+    kept = pair_filter(a, b, condition or (lambda _: F.lit(True)))
+    return function(F.transform(kept, lambda p: p["a"]), F.transform(kept, lambda p: p["b"]))
+
+
+def number_text(c, digits: int = 2, plus: bool = False, width: int = 0, convert: float = 1.0, suffix: str = ""):
+    """A number as a text: converted, with so many decimals, a plus sign if asked, right-aligned to the width."""
+    sign = "+" if plus else ""
+    out = F.concat(F.format_string(f"%{sign}.{digits}f", col(c).cast("double") * convert), F.lit(suffix))
+    return F.lpad(out, width, " ") if width else out
+
+
+def parse_number(c, suffix: str = "", convert: float = 1.0, default=None):
+    """The number of such a text; the default where it is none."""
+    got = F.trim(col(c))
+    got = F.when(F.endswith(got, F.lit(suffix)), F.substring(got, F.lit(1), F.length(got) - len(suffix))).otherwise(got) if suffix else got
+    out = got.try_cast("double") / convert
+    return out if default is None else F.coalesce(out, F.lit(default))
+
+
+def bool_text(c, true: str = "Yes", false: str = "No", none: str = "-"):
+    return F.when(col(c).isNull(), F.lit(none)).when(col(c), F.lit(true)).otherwise(F.lit(false))
+
+
+def aligned(c, width: int, right: bool = False, crop_to: str = ".."):
+    """The text cut to the width (with a mark) and filled with spaces."""
+    t = col(c).cast("string")
+    t = F.when(F.length(t) > width, F.concat(F.substring(t, 1, width - len(crop_to)), F.lit(crop_to))).otherwise(t)
+    return F.lpad(t, width, " ") if right else F.rpad(t, width, " ")
+
+
+def joined(a, delimiter: str = ", ", default: str = ""):
+    """An array as one text."""
+    return F.coalesce(F.array_join(F.transform(col(a), lambda x: x.cast("string")), delimiter), F.lit(default))
+
+
 def in_sample(c, buckets: int, bucket: int = 0):
     """Whether a stable hash puts the value in one of so many buckets."""
     return F.pmod(F.xxhash64(col(c)), F.lit(buckets)) == bucket

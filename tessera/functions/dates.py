@@ -116,6 +116,35 @@ def date_from_year_and_week(year, week):
     return F.date_add(F.trunc(F.make_date(value(year), F.lit(1), F.lit(1)), "week"), (value(week) * 7).cast("int"))
 
 
+def date_from_year_and_month(year, month):
+    return F.make_date(value(year), value(month), F.lit(1))
+
+
+def is_date(c, gost: bool = False):
+    """Whether the text is an ISO date, or one of dd.mm.yyyy if gost."""
+    return is_iso_date(c) | is_gost_date(c) if gost else is_iso_date(c)
+
+
+def days_in_scale(scale: str) -> int:
+    return DAYS[scale_of(scale)]
+
+
+def week_abs_of(year, week):
+    return (value(year) - MIN_YEAR) * 52 + value(week)
+
+
+def year_of_week_abs(n):
+    return (col(n) / 52).cast("int") + MIN_YEAR
+
+
+def week_of_week_abs(n):
+    return col(n) - (col(n) / 52).cast("int") * 52
+
+
+def year_and_week_of_abs(n):
+    return F.struct(year_of_week_abs(n).alias("year"), week_of_week_abs(n).alias("week"))
+
+
 def day_abs(c):
     return F.datediff(col(c), F.lit(epoch()))
 

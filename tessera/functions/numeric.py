@@ -24,6 +24,11 @@ def round_to(c, step):
     return (col(c) / value(step)).cast("bigint") * value(step)
 
 
+def is_numeric(c):
+    """Whether the value is a number or the text of one; null is none."""
+    return F.coalesce(col(c).try_cast("double").isNotNull(), F.lit(False))
+
+
 def diff(a, b, absolute: bool = False, default=None):
     got = col(a) - value(b)
     got = F.abs(got) if absolute else got

@@ -19,13 +19,14 @@ def contains(c, s):
 
 def remove_extra_spaces(c):
     """Newlines and runs of spaces become one space; edges are trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col(c), "\n", " "), " {2,}", " "))
+    return F.trim(F.regexp_replace(F.translate(col(c), "\n", " "), " {2,}", " "))
 
 
 def norm_text(c):
     """Lower-case Latin and Cyrillic letters and single spaces; all else goes."""
+    # What is left after the first pass holds no newline: one pass for runs of spaces is enough.
     low = F.translate(F.lower(col(c)), "\tё", " е")
-    return remove_extra_spaces(F.regexp_replace(low, "[^a-zа-я ]", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(low, "[^a-zа-я ]+", ""), " {2,}", " "))
 
 
 def crop(c, size: int, suffix: str = ".."):

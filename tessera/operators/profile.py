@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from tessera.functions.basic import truthy
 
 
+#: Reports of so many rows may be broadcast.
+MOST_SENT = 10_000
+
+
 def hist(df: DataFrame, *fields: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(field, value, count, share, total_count) of each value of each field, within categories if `by` is given. One pass for all fields."""
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("p")
@@ -56,10 +60,10 @@ def bin_label(c: str, bounds: list):
 
 
 def meld_other(df: DataFrame, field: str, n: int = 8, by: str | None = None, other: str = "other") -> DataFrame:
-    """Values of field beyond the n largest become one. The n values are joined by broadcast: n rows, whatever the data."""
+    """Values of field beyond the n largest become one. The n values are joined; up to MOST_SENT they are broadcast."""
     total = F.sum(by) if by else F.count(F.lit(1))
     top = df.groupBy(field).agg(total.alias("__t")).orderBy(F.col("__t").desc(), field).limit(n).select(F.col(field).alias("__top"))
-    out = df.join(F.broadcast(top), F.col(field).eqNullSafe(F.col("__top")), "left")
+    out = df.join(F.broadcast(top) if n <= MOST_SENT else top, F.col(field).eqNullSafe(F.col("__top")), "left")
     return out.withColumn(field, F.when(F.col("__top").isNotNull(), F.col(field).cast("string")).otherwise(other)).drop("__top")
 
 

@@ -199,10 +199,15 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def stack(frames: dict[int | str, DataFrame], name: str = "dataset") -> DataFrame:
-    """All rows of all frames with the frame's name; columns that a frame lacks are 0 or empty there."""
-    out = union(*(f.withColumn(name, F.lit(k)) for k, f in frames.items()))
-    return out.fillna(0).fillna("")
+def stack(frames: "list[DataFrame] | dict[int | str, DataFrame]", name: str = "dataset") -> DataFrame:
+    """All rows of all frames with the frame's name (of a list: its place, from 0); columns that a frame lacks are 0 or empty there. Its own nulls stay."""
+    frames = frames if isinstance(frames, dict) else dict(enumerate(frames))
+    kinds = {c: t for f in reversed(frames.values()) for c, t in f.dtypes}
+    empty = lambda t: F.lit("") if t == "string" else F.lit(0).cast(t) if t in _NUMBERS or t.startswith("decimal") else F.lit(None).cast(t)
+    return union(*(f.withColumns({c: empty(t) for c, t in kinds.items() if c not in f.columns}).withColumn(name, F.lit(k)) for k, f in frames.items()))
+
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def split_by_positions(df: DataFrame, positions: list[int], *order: str, number: str = "#") -> list[DataFrame]:
@@ -226,29 +231,50 @@ def chunks(df: DataFrame, step: int, *order: str, field: str = "chunk") -> DataF
 
 
 def add_sum_share(df: DataFrame, measure: str, by: list[str]) -> DataFrame:
-    total = F.sum(measure).over(Window.partitionBy(*by))
-    return df.withColumn(f"{measure}_sum", total).withColumn(f"{measure}_share", F.when(F.col(f"{measure}_sum") != 0, F.col(measure) / F.col(f"{measure}_sum")))
+    """Adds the group's sum and the row's share of it. Sums are combined before the shuffle and joined, so a hot group is no hot task; null keys are a group."""
+    names = [f"__k{i}" for i in range(len(by))]
+    sums = df.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True))).agg(F.sum(measure).alias(f"{measure}_sum"))
+    out = df.join(sums, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True))), "left").drop(*names)
+    return out.withColumn(f"{measure}_share", F.when(F.col(f"{measure}_sum") != 0, F.col(measure) / F.col(f"{measure}_sum")))
 
 
 def flat_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """function(dict) gives any number of dicts. A slow path, for functions that no column expression can state."""
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = [p.strip().split()[0] for p in schema.split(",")]
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([r for row in f.to_dict("records") for r in function(row)], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([r for row in b.to_pylist() for r in function(row)], kind)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def map_rows(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return flat_map(df, lambda row: [function(row)], schema)
 
 
+def transposed(df: DataFrame, *fields: str, order: str) -> DataFrame:
+    """One row with the list of each field's values, in order: a report over few rows, as the lists are one row."""
+    rows = df.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), *(F.col(c) for c in fields)))).alias("r"))
+    return rows.select(*(F.col(f"r.{c}").alias(c) for c in fields))
+
+
+def pairs(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) of each row."""
+    return df.select(F.col(key).alias("key"), F.col(value).alias("value"))
+
+
+def safe_apply(c: Column, default=None) -> Column:
+    """The expression, or the default where it is null: Spark's try_ functions give null in place of an error."""
+    return F.coalesce(c, F.lit(default))
+
+
 def having_columns(df: DataFrame, *columns: str) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"no columns {', '.join(missing)}")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.dates import date_to_int, year_decimal
 from tessera.functions.numeric import is_local_extreme, lift
 
 
@@ -32,9 +33,10 @@ class Series:
         got = F.lag(v, -offset).over(self.window) if offset < 0 else F.lead(v, offset).over(self.window) if offset else v
         if not wrap or offset >= 0:
             return got
-        n, size = F.row_number().over(self.window), F.count(F.lit(1)).over(self.whole)
-        at = F.collect_list(F.coalesce(v, F.lit(float("nan")))).over(self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return F.when(n + offset >= 1, got).otherwise(F.get(at, (size + n - 1 + offset).cast("int")))
+        n, falling = F.row_number().over(self.window), Window.partitionBy(*self.by).orderBy(F.col(self.order).desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        for k in range(1, -offset + 1):  # the first rows see the last ones
+            got = F.when(n == k, F.nth_value(v, 1 - k - offset).over(falling)).otherwise(got)
+        return got
 
     # Neighbours
 
@@ -138,6 +140,34 @@ class Series:
         f = {"mean": F.avg, "sum": F.sum, "list": lambda c: F.sort_array(F.collect_list(c))}[how]
         return self.df.groupBy(*self.by, self.order).agg(f(self.value).alias(self.value))
 
+    def drop_row(self, n: int) -> DataFrame:
+        """Without the row of place n (from 0)."""
+        return self.df.withColumn("__n", F.row_number().over(self.window)).filter(F.col("__n") != n + 1).drop("__n")
+
+    def intersect(self, other: "Series") -> DataFrame:
+        """As many first rows as the other series has."""
+        sizes = other.df.groupBy(*other.by).agg(F.count(F.lit(1)).alias("__size"))
+        rows = self.df.withColumn("__n", F.row_number().over(self.window))
+        both = rows.join(sizes, list(self.by)) if self.by else rows.crossJoin(F.broadcast(sizes))  # one row without a series key
+        return both.filter(F.col("__n") <= F.col("__size")).drop("__n", "__size")
+
+    def mutual_borders(self, other: "Series") -> DataFrame:
+        """(first, last) of the keys that both series reach over; no row where they do not overlap."""
+        ends = lambda s: s.df.groupBy(*s.by).agg(F.min(s.order).alias("first"), F.max(s.order).alias("last"))
+        both = ends(self).unionByName(ends(other)).groupBy(*self.by).agg(F.count(F.lit(1)).alias("__n"), F.max("first").alias("first"), F.min("last").alias("last"))
+        return both.filter((F.col("__n") == 2) & (F.col("first") < F.col("last"))).drop("__n")
+
+    def distance(self, to, absolute: bool = True, name: str = "distance") -> DataFrame:
+        """(series key, order, distance): from a fixed key, or from the nearest key of another series."""
+        dates = dict(self.df.dtypes)[self.order] == "date"
+        if not isinstance(to, Series):
+            got = _gap(F.col(self.order), F.lit(to), dates)
+            return self.df.select(*self.by, self.order, (F.abs(got) if absolute else got).alias(name))
+        keys = to.df.withColumn("__one", F.lit(1.0))
+        got = nearest(Series(keys, to.order, "__one", to.by), self.df.select(*self.by, self.order), self.order)
+        signed = _gap(F.col("nearest_key"), F.col(self.order), dates)
+        return got.select(*self.by, self.order, (F.abs(signed) if absolute else signed).alias(name))
+
     # Dates
 
     def first_year(self) -> DataFrame:
@@ -149,6 +179,20 @@ class Series:
     def crop_days(self, left: int, right: int) -> DataFrame:
         return self._within(lambda low, high: F.col(self.order).between(F.date_add(low, left), F.date_sub(high, right)))
 
+    def shift_dates(self, days: int) -> DataFrame:
+        return self.df.withColumn(self.order, F.date_add(self.order, days))
+
+    def yearly_shift(self, step: int = 1) -> DataFrame:
+        """Each date a year later (or step years)."""
+        return self.df.withColumn(self.order, F.add_months(self.order, 12 * step))
+
+    def to_int(self, scale: str) -> DataFrame:
+        """Dates as absolute numbers of the scale."""
+        return self.df.withColumn(self.order, date_to_int(self.order, scale))
+
+    def to_years(self, decimal: bool = True) -> DataFrame:
+        return self.df.withColumn(self.order, year_decimal(self.order) if decimal else F.year(self.order))
+
     def _within(self, condition) -> DataFrame:
         ends = self.df.withColumn("__low", F.min(self.order).over(self.whole)).withColumn("__high", F.max(self.order).over(self.whole))
         return ends.filter(condition(F.col("__low"), F.col("__high"))).drop("__low", "__high")
@@ -177,9 +221,9 @@ def brackets(series: Series, asked: DataFrame, at: str) -> DataFrame:
     known = series.df.filter(F.col(series.value).isNotNull()).select(*series.by, F.col(series.order).alias("__k"), F.struct(F.col(series.order).alias("k"), F.col(series.value).alias("v")).alias("__row"), F.lit(None).alias("__ask"))
     wanted = asked.select(*series.by, F.col(at).alias("__k"), F.lit(None).alias("__row"), F.struct(*asked.columns).alias("__ask"))
     both = known.unionByName(wanted)
-    w = Window.partitionBy(*series.by).orderBy("__k")
-    before = F.last("__row", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__row", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both frames grow from one end, so a row costs the same however long the series: the next row is the last one of the falling order.
+    last = lambda order: F.last("__row", ignorenulls=True).over(Window.partitionBy(*series.by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = last(F.col("__k").asc()), last(F.col("__k").desc())
     out = both.withColumn("__b", before).withColumn("__a", after).filter("__ask is not null")
     return out.select("__ask.*", F.col("__b.k").alias("k0"), F.col("__b.v").alias("v0"), F.col("__a.k").alias("k1"), F.col("__a.v").alias("v1"))
 
@@ -209,6 +253,34 @@ def interpolate(series: Series, asked: DataFrame, at: str, name: str = "value",
     return b.select(*asked.columns, got.alias(name))
 
 
+def value_at(series: Series, asked: DataFrame, at: str, name: str = "value") -> DataFrame:
+    """asked, with the value of an equal key, or else the linearly interpolated one."""
+    return interpolate(series, asked, at, name)
+
+
+def base_dates(series: Series, asked: DataFrame, at: str, within: int = 31, name: str = "base") -> DataFrame:
+    """asked, with the series' date that lies nearest to a yearly anniversary of `at`, the fewest years away; null if none is within so many days."""
+    ends = series.borders().withColumnsRenamed({"first": "__first", "last": "__last"})
+    rows = asked.withColumn("__ask", F.struct(*asked.columns))
+    rows = rows.join(ends, list(series.by)) if series.by else rows.crossJoin(F.broadcast(ends))  # one row without a series key
+    years = F.sequence(F.year("__first") - F.year(at), F.year("__last") - F.year(at))
+    days = F.filter(F.transform(years, lambda y: F.add_months(F.col(at), (12 * y).cast("int"))), lambda d: d.between(F.col("__first"), F.col("__last")))
+    candidates = rows.select(*series.by, "__ask", F.explode_outer(days).alias("__day"))
+    keys = Series(series.df.withColumn("__one", F.lit(1.0)), series.order, "__one", series.by)
+    got = nearest(keys, candidates, "__day").withColumn("__away", F.abs(F.datediff("__day", F.col(f"__ask.{at}"))))
+    good = F.when((F.col("distance") <= within) & F.col("__day").isNotNull(), F.struct("__away", F.col("nearest_key").alias("key")))
+    return got.groupBy("__ask").agg(F.min(good).alias("__best")).select("__ask.*", F.col("__best.key").alias(name))
+
+
+def interpolated_windows(series: Series, days: list[int], function: Callable[[Column], Column], name: str = "value", full: bool = False) -> DataFrame:
+    """(series key, order, value): function of the array of interpolated values so many days around each date; full: only dates whose window lies inside the series."""
+    s = Series(series._within(lambda low, high: F.col(series.order).between(F.date_add(low, max(0, -min(days))), F.date_sub(high, max(0, max(days))))), series.order, series.value, series.by) if full else series
+    places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.date_add(F.col(s.order), d).alias("d")) for i, d in enumerate(days)))).alias("__p")
+    asked = s.df.select(*s.by, s.order, places).select(*s.by, s.order, F.col("__p.i").alias("__i"), F.col("__p.d").alias("__d"))
+    got = interpolate(series, asked, "__d", "__v").groupBy(*s.by, s.order).agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]).alias("__w"))  # len(days) values
+    return got.select(*s.by, s.order, function(F.col("__w")).alias(name))
+
+
 def weighted_interpolation(series: Series, benchmark: Series, asked: DataFrame, at: str, name: str = "value") -> DataFrame:
     """Linear interpolation, times the benchmark's value on the day over the benchmark's interpolation between the series' own dates.
 
@@ -263,7 +335,7 @@ def spline(series: Series, asked: DataFrame, at: str, name: str = "value") -> Da
 
 
 def spline_values(x, y, at):
-    """The not-a-knot cubic spline through (x, y), solved for the second derivatives."""
+    """The not-a-knot cubic spline through (x, y), solved for the second derivatives by elimination along the bands: time and memory grow with the knots alone."""
     import numpy as np
 
     n = len(x)
@@ -271,11 +343,22 @@ def spline_values(x, y, at):
     if n < 4:
         return np.where(inside, np.interp(at, x, y), np.nan)
     h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    a, r = np.zeros((n, n)), np.zeros(n)
-    i = np.arange(1, n - 1)
-    a[i, i - 1], a[i, i], a[i, i + 1], r[i] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:], 6 * np.diff(slope)
-    a[0, :3], a[-1, -3:] = (h[1], -h[0] - h[1], h[0]), (h[-1], -h[-2] - h[-1], h[-2])
-    m = np.linalg.solve(a, r)
+    # Rows 1 to n - 2 hold the bands below, on and above the diagonal; the ends' conditions leave m[0] and m[n - 1] out of them.
+    low, mid, high, r = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    mid[0], high[0] = mid[0] + h[0] * (h[0] + h[1]) / h[1], h[1] - h[0] * h[0] / h[1]
+    mid[-1], low[-1] = mid[-1] + h[-1] * (h[-1] + h[-2]) / h[-2], h[-2] - h[-1] * h[-1] / h[-2]
+    low, mid, high, r = low.tolist(), mid.tolist(), high.tolist(), r.tolist()
+    for i in range(1, n - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * high[i - 1]
+        r[i] -= f * r[i - 1]
+    m = [0.0] * n
+    m[n - 2] = r[n - 3] / mid[n - 3]
+    for i in range(n - 4, -1, -1):
+        m[i + 1] = (r[i] - high[i] * m[i + 2]) / mid[i]
+    m = np.array(m)
+    m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+    m[-1] = ((h[-1] + h[-2]) * m[-2] - h[-1] * m[-3]) / h[-2]
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     t, u = at - x[k], x[k + 1] - at
     got = (m[k] * u**3 + m[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * t

@@ -42,6 +42,11 @@ class Term:
         return F.split(F.col(self.column("key")), rf"\{delimiter}")[level]
 
 
+def entity_records(terms: list[Term]) -> list[dict]:
+    """A record for each term: its name, levels and relations, for a table of the dimensions."""
+    return [{"name": t.name, "levels": list(t.levels), "relations": dict(t.relations)} for t in terms]
+
+
 def edges(df: DataFrame, source: str, target: str) -> DataFrame:
     """Distinct directed edges with their counts."""
     return df.groupBy(F.col(source).alias("source"), F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("n"))

@@ -116,6 +116,10 @@ def enumerate_lineitem(t):
     return big_column(relational.enumerate_rows(t("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", field="n"), "n")
 
 
+def one_row():
+    return SparkSession.active().range(1)
+
+
 def big_column(df, *names):
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
@@ -395,7 +399,7 @@ def date_absolutes(t):
 
 @query("SELECT CAST(unnest(generate_series(DATE '2020-01-01', DATE '2021-06-01', INTERVAL 1 MONTH)) AS DATE) AS d")
 def date_range_grid(t):
-    return t("region").limit(1).select(F.explode(dates.date_range(F.lit(datetime.date(2020, 1, 15)), F.lit(datetime.date(2021, 6, 1)), "month")).alias("d"))
+    return one_row().select(F.explode(dates.date_range(F.lit(datetime.date(2020, 1, 15)), F.lit(datetime.date(2021, 6, 1)), "month")).alias("d"))
 
 
 # Arrays, JSON, CSV
@@ -483,14 +487,14 @@ def ser_yoy(t):
 @query(f"SELECT q AS asked, d AS nearest_key, v AS nearest_value, abs(date_diff('day', q, d)) AS distance FROM (SELECT q, d, v, row_number() OVER (PARTITION BY q ORDER BY abs(date_diff('day', q, d)), d) AS n FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS q), (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS d, COUNT(*)::DOUBLE AS v FROM orders GROUP BY 1)) WHERE n = 1")
 def ser_nearest(t):
     yearly = t("orders").groupBy(F.trunc("o_orderdate", "year").alias("d")).agg(many().cast("double").alias("v"))
-    asked = t("region").limit(1).select(F.explode(dates.date_range(F.lit(datetime.date(1994, 12, 1)), F.lit(datetime.date(2001, 12, 1)), "month")).alias("asked"))
+    asked = one_row().select(F.explode(dates.date_range(F.lit(datetime.date(1994, 12, 1)), F.lit(datetime.date(2001, 12, 1)), "month")).alias("asked"))
     return big_column(series.nearest(series.Series(yearly, "d", "v"), asked, "asked"), "distance")
 
 
 @query("WITH k AS (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS d, COUNT(*)::DOUBLE AS v FROM orders GROUP BY 1), q AS (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS asked) SELECT asked, CASE WHEN k0.d IS NULL THEN k1.v WHEN k1.d IS NULL OR k0.d = k1.d THEN k0.v ELSE k0.v + (k1.v - k0.v) * date_diff('day', k0.d, asked) / date_diff('day', k0.d, k1.d) END AS value FROM q ASOF LEFT JOIN k k0 ON asked >= k0.d ASOF LEFT JOIN k k1 ON asked <= k1.d")
 def ser_linear_interp(t):
     yearly = t("orders").groupBy(F.trunc("o_orderdate", "year").alias("d")).agg(many().cast("double").alias("v"))
-    asked = t("region").limit(1).select(F.explode(dates.date_range(F.lit(datetime.date(1994, 12, 1)), F.lit(datetime.date(2001, 12, 1)), "month")).alias("asked"))
+    asked = one_row().select(F.explode(dates.date_range(F.lit(datetime.date(1994, 12, 1)), F.lit(datetime.date(2001, 12, 1)), "month")).alias("asked"))
     return series.interpolate(series.Series(yearly, "d", "v"), asked, "asked")
 
 
@@ -548,3 +552,7 @@ def window_sessions(t):
 def top_k_per_group(t):
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
     return big_column(t("orders").withColumn("rank", n).filter("rank <= 3").select("o_custkey", "o_orderkey", "rank"), "rank")
+
+
+# The queries of further modules register themselves here.
+from tessera.plans import function_queries, series_queries, source_queries  # noqa: E402, F401

@@ -2,17 +2,34 @@
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new temporary one where that is unset (local tests)."""
+    """The folder that all executors share, as a URI: spark.checkpoint.dir, on the default file system where it names none.
+
+    Where it is unset, a local application takes one new temporary folder; on a cluster that is an error, as executors
+    would not see one another's files.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/") if "://" in at or at.startswith("file:") else f"file://{at.rstrip('/')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = _local_dir(spark.sparkContext.applicationId)
+    return qualified(spark, at)
+
+
+@lru_cache(maxsize=1)
+def _local_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
+
+def qualified(spark: SparkSession, at: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}".rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.schema import schema_by_names
+from tessera.sources.schema import from_text, schema_by_names
 
 DELIMITERS = {"csv": ",", "tsv": "\t"}
 
@@ -24,7 +24,7 @@ def read(spark: SparkSession, path: str, kind: str | None = None, schema: str |
 def read_by_title(spark: SparkSession, path: str, kind: str = "tsv") -> DataFrame:
     """A file with a title row, typed by its column names; bad values are null."""
     raw = spark.read.csv(path, sep=DELIMITERS[kind], header=True)
-    return raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema_by_names(raw.columns)))
+    return raw.select(*(from_text(f"`{f.name}`", f.dataType).alias(f.name) for f in schema_by_names(raw.columns)))
 
 
 def write(df: DataFrame, path: str, kind: str | None = None, partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
@@ -62,5 +62,48 @@ def write_table(df: DataFrame, url: str, table: str, batch: int = 1000, mode: st
     df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, batchsize=str(batch), **options).save()
 
 
+def safe_write_table(df: DataFrame, url: str, table: str, least_share: float = 0.9, **options: str) -> int:
+    """Replaces a table by way of a staging table: written first, counted, and copied over only if it holds enough of the rows; returns the count."""
+    staging = f"{table}_tmp_upload"
+    write_table(df, url, staging, mode="overwrite", **options)
+    want, got = df.count(), read_table(df.sparkSession, url, staging, **options).count()
+    if got < least_share * want:
+        raise ValueError(f"{staging} holds {got} of {want} rows; {table} is left as it was")
+    write_table(read_table(df.sparkSession, url, staging, **options), url, table, mode="overwrite", **options)
+    return got
+
+
+def table_exists(spark: SparkSession, url: str, table: str, **options: str) -> bool:
+    from pyspark.errors import AnalysisException
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        read_table(spark, url, table, **options).schema
+    except (AnalysisException, Py4JJavaError):
+        return False
+    return True
+
+
+def describe_table(spark: SparkSession, url: str, table: str, **options: str) -> list[tuple[str, str]]:
+    """(column, type) of a database table."""
+    return read_table(spark, url, table, **options).dtypes
+
+
+def detect_delimiter(line: str, delimiters: str = "\t; ,|") -> str:
+    """The delimiter that occurs in the line, the first of those listed; a comma if none does."""
+    return next((d for d in delimiters if d in line), ",")
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    rows = spark.read.text(path).take(1)
+    return rows[0][0] if rows else None
+
+
+def listing(spark: SparkSession, path: str, mask: str = "*", recursive: bool = False) -> DataFrame:
+    """(path, length, modificationTime) of the files under a folder whose names match; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", mask).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return files.select("path", "length", "modificationTime")
+
+
 def lines_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()

@@ -19,8 +19,9 @@ class Operation:
 
     def run(self, spark: SparkSession, force: bool = False, **parameters) -> DataFrame:
         path = self.output.format(**parameters)
-        if force or not exists(spark, path):
-            write(self.function(*(read(spark, p.format(**parameters)) for p in self.inputs)), path, mode="overwrite" if force else "errorifexists")
+        if force or not committed(spark, path):
+            # What a failed run left is written over; anything else that lies there is not.
+            write(self.function(*(read(spark, p.format(**parameters)) for p in self.inputs)), path, mode="overwrite" if force or exists(spark, f"{path}/_temporary") else "errorifexists")
         return read(spark, path)
 
 
@@ -33,11 +34,11 @@ class Job:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a reader finds rows or a schema there; asks Spark, so any file system will do."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException:
-        return False
-    return True
+    """Whether there is a file or folder, in any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a run that ended well wrote the folder: Spark leaves a marker there when it commits."""
+    return exists(spark, f"{path}/_SUCCESS")

@@ -1,11 +1,34 @@
 """Schemas: types from column names, checks, and casts that keep bad rows apart."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Types by the last word of a column's name.
-SUFFIX_TYPES = {"id": "int", "no": "int", "count": "int", "hits": "int", "position": "int", "rate": "double", "share": "double", "sum": "double", "value": "double", "mean": "double", "price": "double", "name": "string", "date": "date", "time": "timestamp", "ids": "array<int>", "is": "boolean"}
+#: Types by a part of a column's name; the first part listed here that the name holds decides.
+PART_TYPES = {
+    "hist": "map<string,double>",
+    "names": "array<string>",
+    "ids": "array<string>",
+    "id": "int",
+    "hits": "int",
+    "count": "int",
+    "sum": "double",
+    "avg": "double",
+    "mean": "double",
+    "share": "double",
+    "norm": "double",
+    "weight": "double",
+    "value": "double",
+    "score": "double",
+    "rate": "double",
+    "coef": "double",
+    "abs": "double",
+    "rel": "double",
+    "pos": "int",
+    "no": "int",
+    "is": "boolean",
+    "has": "boolean",
+}
 
 
 def _schema(text: str) -> T.StructType:
@@ -13,8 +36,13 @@ def _schema(text: str) -> T.StructType:
 
 
 def type_by_name(name: str) -> str:
-    words = name.lower().split("_")
-    return "boolean" if words[0] in ("is", "has") else SUFFIX_TYPES.get(words[-1], "string")
+    parts = name.split("_")
+    return next((kind for part, kind in PART_TYPES.items() if part in parts), "string")
+
+
+def from_text(c: str, kind: T.DataType) -> Column:
+    """A text column by its type, null where it is no such value; lists and maps are JSON."""
+    return F.from_json(c, kind.simpleString()) if isinstance(kind, (T.ArrayType, T.MapType)) else F.col(c).try_cast(kind)
 
 
 def schema_by_names(names: list[str]) -> T.StructType:

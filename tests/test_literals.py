@@ -79,7 +79,7 @@ def test_student_p():
 
 
 def test_files_and_schema(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a", "2.5"), (2, "b", "x")], "page_id int, page_name string, hits_rate string")
+    df = spark.createDataFrame([(1, "a", "2.5"), (2, "b", "x")], "page_id int, page_name string, conversion_rate string")
     for kind in ("parquet", "csv", "tsv", "json"):
         files.write(df, str(tmp_path / f"t.{kind}"))
         assert files.read(spark, str(tmp_path / f"t.{kind}")).count() == 2
