@@ -162,10 +162,11 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cut = rows.join(places.hint("merge"), at).select(rows["id"], rows["key"], "text", "places")
     cut = cut.mapInArrow(_cut_out, f"id {id_type}, key long, first int, lines int, hash long, chunk string")
     cut = written(cut.withColumn("bytes", F.xxhash64(F.lit(1), "chunk")), "repeated")
+    # One aggregate finds each byte string's first place and keeps its bytes; the join then compares them with all others'.
+    # coalesce keeps the comparison out of the join's keys, so that the aggregate's partitioning serves the join.
     place, of = F.struct("id", "key", "first"), ["hash", "bytes"]
-    least = cut.groupBy(*of).agg(F.min(place).alias("keep"))
-    kept = cut.join(least.hint("merge"), of).filter(place.eqNullSafe(F.col("keep"))).select(*of, F.col("chunk").alias("kept"), "keep").dropDuplicates(of)
-    gone = cut.join(kept.hint("merge"), of).filter((F.col("chunk") == F.col("kept")) & ~place.eqNullSafe(F.col("keep")))
+    kept = cut.groupBy(*of).agg(F.min(F.struct(place.alias("place"), "chunk")).alias("keep")).select(*of, "keep.place", F.col("keep.chunk").alias("kept"))
+    gone = cut.join(kept.hint("merge"), of).filter(F.coalesce(F.col("chunk") == F.col("kept"), F.lit(False)) & ~place.eqNullSafe(F.col("place")))
     gone = written(gone.groupBy("id", "key").agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone").withColumnsRenamed({"id": id_, "key": key_, "gone": gone_})
     out = docs.withColumn(sum_, key).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sum_) == F.col(key_)), "left")
     text, has = F.col(text_col), F.col(gone_).isNotNull()
