@@ -75,4 +75,24 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style, op2_token_files, op3_gray_simhash, op4_binary_packing, op5_repetition, op6_containment, op7_token_counts, op8_warc, op9_line_chunks, op10_licences)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower(COALESCE(text, '')), '[\p{L}\p{N}]+')"
+_SHINGLES = "unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s"
+
+#: SQL has neither tokenizers, XXH64, context mixing nor HTML; the other queries are tested against plain Python.
+ORACLE_SQL: dict[str, str] = {
+    "op6_containment": f"""
+        WITH items AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+        wanted AS (SELECT DISTINCT item_id, k, s FROM (SELECT item_id, k, {_SHINGLES} FROM items)),
+        sizes AS (SELECT item_id, count(*) AS n FROM wanted GROUP BY 1),
+        docs AS (SELECT doc_id, w, k FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT k FROM items) WHERE len(w) >= k),
+        held AS (SELECT DISTINCT doc_id, k, s FROM (SELECT doc_id, k, {_SHINGLES} FROM docs)),
+        shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM held JOIN wanted USING (k, s) GROUP BY 1, 2)
+        SELECT doc_id, item_id, n_shared, n AS n_shingles, n_shared / n AS containment FROM shared JOIN sizes USING (item_id) WHERE n_shared >= ceil(0.8 * n - 1e-9)""",
+    "op8_warc": """
+        WITH pages AS (SELECT page_id, COALESCE(html, '') AS t FROM pages),
+        sums AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS kept FROM pages)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+            CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+        FROM sums""",
+}
