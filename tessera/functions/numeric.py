@@ -79,6 +79,11 @@ def count_uniq(c):
     return F.count_distinct(col(c)) + F.max(F.when(col(c).isNull(), 1).otherwise(0))
 
 
+def median(c, accuracy: int | None = None):
+    """Exact, or by a sketch of that accuracy, whose memory does not grow with a group's values."""
+    return F.median(col(c)) if accuracy is None else F.percentile_approx(col(c), 0.5, accuracy)
+
+
 def mean(c, digits: int | None = None, default=None):
     got = F.avg(col(c)) if digits is None else F.bround(F.avg(col(c)), digits)
     return got if default is None else F.coalesce(got, F.lit(default))

@@ -93,18 +93,21 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", right_is_uniq: bool = False, last_by: str | None = None, null_safe: bool = True, map_side: bool = False) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", right_is_uniq: bool = False, last_by: str | None = None, null_safe: bool = True, map_side: bool = False, right_is_distinct: bool = False) -> DataFrame:
     """An equi-join in which nulls match nulls and the right side's columns overwrite the left's of the same name.
 
     how: left, inner, right, full, outer (as left), or xor (rows of either side that the other lacks).
     right_is_uniq: one row of the right side for each key, the last by last_by; else equal right rows count once.
+    right_is_distinct: the caller knows that no two right rows are equal, which saves a shuffle of the right side.
     map_side: broadcast the right side if Spark's estimate stays below BROADCAST_BYTES; otherwise Spark chooses.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if right_is_uniq:
-        order = [F.col(last_by).desc()] if last_by else [F.struct(*right.columns).desc()]
-        right = right.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
-    else:
+    others = [c for c in right.columns if c not in keys]
+    if right_is_uniq and others:
+        # The last row is kept by an aggregate, which combines rows before they move; nulls of last_by come first.
+        rank = F.struct(F.col(last_by).isNotNull().alias("a"), F.col(last_by).alias("b"), *(F.col(c) for c in others)) if last_by else F.struct(*right.columns)
+        right = right.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("__v")).select(*(F.col(c) if c in keys else F.col(f"__v.{c}") for c in right.columns))
+    elif not right_is_distinct:
         right = right.distinct()
     r = right.select(*(F.col(c).alias(f"__r_{c}") for c in right.columns), F.lit(True).alias("__right"))
     l = left.withColumn("__left", F.lit(True))  # noqa: E741
