@@ -148,7 +148,7 @@ class Series:
         """As many first rows as the other series has."""
         sizes = other.df.groupBy(*other.by).agg(F.count(F.lit(1)).alias("__size"))
         rows = self.df.withColumn("__n", F.row_number().over(self.window))
-        both = rows.join(sizes, list(self.by)) if self.by else rows.crossJoin(F.broadcast(sizes))  # one row without a series key
+        both = _joined(rows, sizes, self.by)
         return both.filter(F.col("__n") <= F.col("__size")).drop("__n", "__size")
 
     def mutual_borders(self, other: "Series") -> DataFrame:
@@ -212,6 +212,14 @@ class Series:
         return got.select(*self.by, F.col("__at").alias(self.order), F.col("__now").alias(self.value), lift("__before", "__now").alias(name))
 
 
+def _joined(rows: DataFrame, facts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rows with the facts of their series: one row for each series key, one in all without a key."""
+    if by:
+        return rows.join(facts, list(by))
+    one = F.lit(1).alias("__one")
+    return rows.select("*", one).join(F.broadcast(facts.select("*", one)), "__one").drop("__one")
+
+
 def brackets(series: Series, asked: DataFrame, at: str) -> DataFrame:
     """asked, with the series' rows around each `at`: k0, v0 (at or before) and k1, v1 (at or after).
 
@@ -262,7 +270,7 @@ def base_dates(series: Series, asked: DataFrame, at: str, within: int = 31, name
     """asked, with the series' date that lies nearest to a yearly anniversary of `at`, the fewest years away; null if none is within so many days."""
     ends = series.borders().withColumnsRenamed({"first": "__first", "last": "__last"})
     rows = asked.withColumn("__ask", F.struct(*asked.columns))
-    rows = rows.join(ends, list(series.by)) if series.by else rows.crossJoin(F.broadcast(ends))  # one row without a series key
+    rows = _joined(rows, ends, series.by)
     years = F.sequence(F.year("__first") - F.year(at), F.year("__last") - F.year(at))
     days = F.filter(F.transform(years, lambda y: F.add_months(F.col(at), (12 * y).cast("int"))), lambda d: d.between(F.col("__first"), F.col("__last")))
     candidates = rows.select(*series.by, "__ask", F.explode_outer(days).alias("__day"))
