@@ -26,6 +26,8 @@ from tessera.llm.common import free_names, hidden, row_slices, written
 
 #: A boundary lies after a line if the rolling hash is 0 modulo DIVISOR; chunks have at least LEAST lines and at most MOST.
 WINDOW, DIVISOR, LEAST, MOST = 2, 2, 2, 64
+#: The place of a whole text among the chunks that are compared.
+WHOLE = -1
 _MASK, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
@@ -112,7 +114,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(i)
                 for k in ("first", "lines", "hash"):
                     out[k].append(p[k])
-                out["chunk"].append("\n".join(lines[p["first"] : p["first"] + p["lines"]]))
+                out["chunk"].append(text if p["first"] == WHOLE else "\n".join(lines[p["first"] : p["first"] + p["lines"]]))
         take = pa.array(rows, pa.int32())
         yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out["first"], pa.int32()), pa.array(out["lines"], pa.int32()), pa.array(out["hash"], pa.int64()), pa.array(out["chunk"], pa.string())], ["id", "key", "first", "lines", "hash", "chunk"])
 
@@ -155,18 +157,31 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     id_type = rows.schema["id"].dataType.simpleString()
     found = written(rows.mapInArrow(_hashed(chunk_words, long_words), f"id {id_type}, key long, first int, lines int, hash long").distinct(), "chunks")
-    repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    places = found.join(repeated.hint("merge"), "hash").groupBy("id", "key").agg(F.collect_list(F.struct("first", "lines", "hash")).alias("places"))
+    # Of equal texts the one of the smallest id stands for all: what it holds is the earliest of its bytes or repeats earlier ones,
+    # and all chunks of the others repeat it. These are compared as whole texts, once, not chunk by chunk.
+    held = found.select("id", "key").distinct()
+    copies = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id")).alias("lead")).filter("n > 1").drop("n"), "copies")
+    leads = found.join(copies.hint("merge"), "key", "left").filter(F.col("lead").isNull() | F.col("id").eqNullSafe(F.col("lead.id"))).drop("lead")
+    repeated = leads.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    places = leads.join(repeated.hint("merge"), "hash").select("id", "key", "first", "lines", "hash")
+    wholes = held.join(copies.hint("merge"), "key").select("id", "key", F.lit(WHOLE).alias("first"), F.lit(0).alias("lines"), F.col("key").alias("hash"))
+    places = places.unionByName(wholes).groupBy("id", "key").agg(F.collect_list(F.struct("first", "lines", "hash")).alias("places"))
 
     at = [rows["id"].eqNullSafe(places["id"]), rows["key"] == places["key"]]
     cut = rows.join(places.hint("merge"), at).select(rows["id"], rows["key"], "text", "places")
     cut = cut.mapInArrow(_cut_out, f"id {id_type}, key long, first int, lines int, hash long, chunk string")
     cut = written(cut.withColumn("bytes", F.xxhash64(F.lit(1), "chunk")), "repeated")
     # One aggregate finds each byte string's first place and keeps its bytes; the join then compares them with all others'.
-    # coalesce keeps the comparison out of the join's keys, so that the aggregate's partitioning serves the join.
+    # It is a table of its own, so that both sides of the join are shuffled and a hot chunk's rows can be split; coalesce
+    # keeps the comparison out of the join's keys.
     place, of = F.struct("id", "key", "first"), ["hash", "bytes"]
-    kept = cut.groupBy(*of).agg(F.min(F.struct(place.alias("place"), "chunk")).alias("keep")).select(*of, "keep.place", F.col("keep.chunk").alias("kept"))
+    kept = cut.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(place.alias("place"), "chunk")).alias("keep")).filter("n > 1")
+    kept = written(kept.select(*of, "keep.place", F.col("keep.chunk").alias("kept")), "kept")
     gone = cut.join(kept.hint("merge"), of).filter(F.coalesce(F.col("chunk") == F.col("kept"), F.lit(False)) & ~place.eqNullSafe(F.col("place")))
+    gone = written(gone.select("id", "key", "first", "lines"), "repeats")
+    whole = gone.filter(F.col("first") == WHOLE).select(F.col("id").alias("i"), F.col("key").alias("k"))
+    lines_of = found.join(whole.hint("merge"), found["id"].eqNullSafe(whole["i"]) & (found["key"] == whole["k"])).select("id", "key", "first", "lines")
+    gone = gone.filter(F.col("first") != WHOLE).unionByName(lines_of)
     gone = written(gone.groupBy("id", "key").agg(F.collect_set(F.struct("first", "lines")).alias("gone")), "gone").withColumnsRenamed({"id": id_, "key": key_, "gone": gone_})
     out = docs.withColumn(sum_, key).join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sum_) == F.col(key_)), "left")
     text, has = F.col(text_col), F.col(gone_).isNotNull()
