@@ -32,7 +32,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word.encode("utf-8", "replace"))
         return h

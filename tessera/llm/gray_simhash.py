@@ -221,6 +221,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _links(prints: DataFrame) -> DataFrame:
     """(k, a, b): links that span the components of the fingerprints (k, fp) of each number k."""
+    # Each row becomes 16: as many tasks as partitions, however small the table is before.
+    prints = prints.repartition(partitions(prints.sparkSession), "fp")
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"), "k").withColumn("key", F.col("key").bitwiseOR(F.shiftleft("k", 32))).drop("k")
     hot = written(keyed.groupBy("key").count().filter(F.col("count") > SPLIT).select("key", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")), "hot")
     keyed = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -250,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints (see fingerprint()) link at 3 or fewer differing bits; component_id is the smallest id that is reachable
     over any number of links, the row's own included. Null texts are empty; texts without words have fingerprint zero and
     link like any other. Null ids come last (a component of null ids alone has a null component_id). Repeated rows are
-    given each; an empty table gives none; other columns are not read.
+    given each; an empty table gives none; other columns are not read. Texts are read whole, however long, each in one task.
 
     Copies meet in one grouping by fingerprint (combined before the shuffle); only distinct fingerprints are compared.
     Groups of more than SPLIT fingerprints are split into parts, every two of which meet in a task of their own.
