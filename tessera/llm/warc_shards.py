@@ -78,6 +78,13 @@ def _edges(sizes: DataFrame, shards: int) -> list[int]:
     return sorted(r["id"] for r in starts.groupBy("shard").agg(F.min("id").alias("id")).filter("shard > 0").collect())
 
 
+def _seats(spark: SparkSession, n: int) -> np.ndarray:
+    """For each shard a number that Spark's hash puts into a partition of the shard's own, so that no task writes two shards and another none."""
+    numbers = spark.range(32 * n).select(F.col("id").cast("int").alias("number")).withColumn("part", F.pmod(F.hash("number"), F.lit(n)))
+    found = {r["part"]: r["number"] for r in numbers.groupBy("part").agg(F.min("number").alias("number")).collect()}  # n rows
+    return np.array([found.get(i, i) for i in range(n)], np.int32)
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 256 << 20, min_revisit_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", level: int = 6, shards: int | None = None) -> DataFrame:
     """Writes each page as a record, one gzip member each; returns the manifest (shard, number, file, records, bytes, sha1).
 
@@ -98,14 +105,16 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     known = written(rows.select("id", "sum", "size"), "page-sums")
     groups = known.filter(F.col("size") >= min_revisit_bytes).groupBy("sum", "size").agg(F.max("id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept is not null")
     marks = written(known.join(groups, ["sum", "size"]).filter(~F.col("id").eqNullSafe(F.col("kept"))).select("id", "sum", "kept").distinct(), "revisits")
-    edges = np.array(_edges(known, shards), np.int64)
+    edges, seats = np.array(_edges(known, shards), np.int64), _seats(spark, shards)
 
-    @F.arrow_udf("int")
+    @F.arrow_udf("struct<shard: int, seat: int>")
     def shard_of(ids: pa.Array) -> pa.Array:
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, pc.fill_null(ids, 0).to_numpy(), side="right")).astype(np.int32))
+        shard = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, pc.fill_null(ids, 0).to_numpy(), side="right")).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(shard), pa.array(seats[shard])], ["shard", "seat"])
 
     both = rows.select("id", "sum", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("kept")).unionByName(marks.select("id", "sum", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "kept"))
-    both = both.withColumn("shard", shard_of("id")).repartition(shards, "shard").sortWithinPartitions("shard", "id", "sum", "kind", "url")
+    both = both.withColumn("at", shard_of("id")).select("id", "sum", "kind", "url", "html", "kept", "at.shard", "at.seat")
+    both = both.repartition(shards, "seat").sortWithinPartitions("shard", "id", "sum", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, now, number, count, mark, last, again = None, -1, 0, 0, (None, None, None), None, 0
