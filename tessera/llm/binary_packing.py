@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import SLICE_BYTES, no_null, row_slices
+from tessera.llm.common import no_null, row_slices
 from tessera.llm.encoding import encoder
 
 #: A shard's sequence ids begin at its number times this.
@@ -32,7 +32,7 @@ def pack_binary(docs: DataFrame, tokenizer: str, end_id: int, max_length: int =
     the partition and the place in it: no shuffle, no count over the whole table, and a task that runs again gives the
     same ids. max_length must be a power of two.
 
-    Null texts are empty: one piece that holds the end id. Repeated rows are packed each. An empty table gives no rows.
+    Texts are encoded whole, however long, each in one task. Null texts are empty: one piece that holds the end id. Repeated rows are packed each. An empty table gives no rows.
     Other columns of docs are not read.
     """
     if max_length < 1 or max_length & (max_length - 1):
@@ -44,7 +44,7 @@ def pack_binary(docs: DataFrame, tokenizer: str, end_id: int, max_length: int =
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, made = encoder(tokenizer), TaskContext.get().partitionId(), 0
         cuts: dict[int, list[int]] = {}
-        for b in row_slices(batches, "__text", 2 * SLICE_BYTES):
+        for b in row_slices(batches, "__text"):
             ids, counts = enc.encode(b.column(1).to_pylist(), end_id)
             pieces = []
             for n in counts.tolist():
