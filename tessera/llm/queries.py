@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm.binary_packing import pack_binary, write_buckets
 from tessera.llm.common import new_dir
 from tessera.llm.containment import contained_items
+from tessera.llm.conversation_trie import conversation_trie
 from tessera.llm.gray_simhash import near_duplicates
 from tessera.llm.license_automaton import scan_licences
 from tessera.llm.line_chunks import drop_repeated_chunks
@@ -17,6 +18,7 @@ from tessera.llm.site_style import extract_text
 from tessera.llm.token_counts import token_counts
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.warc_shards import read_warc, write_warc
+from tessera.llm.whitening import whiten
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -74,11 +76,19 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style, op2_token_files, op3_gray_simhash, op4_binary_packing, op5_repetition, op6_containment, op7_token_counts, op8_warc, op9_line_chunks, op10_licences)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style, op2_token_files, op3_gray_simhash, op4_binary_packing, op5_repetition, op6_containment, op7_token_counts, op8_warc, op9_line_chunks, op10_licences, op11_prefix_trie, op12_whitening)}
 _WORDS = r"regexp_extract_all(lower(COALESCE(text, '')), '[\p{L}\p{N}]+')"
 _SHINGLES = "unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s"
 
-#: SQL has neither tokenizers, XXH64, context mixing nor HTML; the other queries are tested against plain Python.
+#: SQL has neither tokenizers, XXH64, context mixing, HTML nor eigenvectors; the other queries are tested against plain Python.
 ORACLE_SQL: dict[str, str] = {
     "op6_containment": f"""
         WITH items AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
