@@ -15,6 +15,7 @@ from tessera.llm.license_automaton import scan_licences
 from tessera.llm.line_chunks import drop_repeated_chunks
 from tessera.llm.repetition import FIELDS, repetition_rules
 from tessera.llm.site_style import extract_text
+from tessera.llm.suffix_trees import drop_repeated_windows
 from tessera.llm.token_counts import token_counts
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.warc_shards import read_warc, write_warc
@@ -84,7 +85,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style, op2_token_files, op3_gray_simhash, op4_binary_packing, op5_repetition, op6_containment, op7_token_counts, op8_warc, op9_line_chunks, op10_licences, op11_prefix_trie, op12_whitening)}
+def op13_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "substrings.n_words", "substrings.n_removed", F.sha2("substrings.text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_style, op2_token_files, op3_gray_simhash, op4_binary_packing, op5_repetition, op6_containment, op7_token_counts, op8_warc, op9_line_chunks, op10_licences, op11_prefix_trie, op12_whitening, op13_suffix_trees)}
 _WORDS = r"regexp_extract_all(lower(COALESCE(text, '')), '[\p{L}\p{N}]+')"
 _SHINGLES = "unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s"
 
