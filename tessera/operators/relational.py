@@ -152,16 +152,24 @@ def unfold(df: DataFrame, lists: list[str], number: str = "n", default=0) -> Dat
 
 
 def run_id(df: DataFrame, keys: list[str], order: list[str], by: tuple[str, ...] = (), name: str = "run") -> DataFrame:
-    """Numbers the runs of consecutive equal keys in the given order, within groups."""
+    """Numbers the runs of consecutive equal keys in the given order, within groups; without groups in blocks, so that no task holds all rows."""
+    if not by:
+        from tessera.operators.scan import runs
+
+        return runs(df, keys, order, name=name)
     w = Window.partitionBy(*by).orderBy(*order)
     changed = reduce(lambda a, b: a | b, (~F.col(k).eqNullSafe(F.lag(k).over(w)) for k in keys)) | (F.row_number().over(w) == 1)
     return df.withColumn("__new", changed.cast("int")).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
 def uniq(df: DataFrame, keys: list[str], order: list[str], by: tuple[str, ...] = (), everywhere: bool = False) -> DataFrame:
-    """Drops rows whose keys equal those of the row before; with everywhere=True all but the first row of each key."""
+    """Drops rows whose keys equal those of the row before (without groups in blocks); with everywhere=True all but the first row of each key."""
     if everywhere:
         return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+    if not by:
+        from tessera.operators import scan
+
+        return scan.uniq(df, keys, order)
     w = Window.partitionBy(*by).orderBy(*order)
     changed = reduce(lambda a, b: a | b, (~F.col(k).eqNullSafe(F.lag(k).over(w)) for k in keys)) | (F.row_number().over(w) == 1)
     return df.withColumn("__new", changed).filter("__new").drop("__new")

@@ -498,11 +498,27 @@ def ser_linear_interp(t):
     return series.interpolate(series.Series(yearly, "d", "v"), asked, "asked")
 
 
-@query()
+#: The tridiagonal system by recursion: elimination forward from the second knot, substitution back from the last but one.
+_SPLINE = f"""
+    WITH RECURSIVE k AS (SELECT p, d, v, date_diff('day', DATE '1970-01-01', d)::DOUBLE AS x, row_number() OVER (PARTITION BY p ORDER BY d) AS n, count(*) OVER (PARTITION BY p) AS c FROM ({_BY})),
+    g AS (SELECT p, n, c, x - lag(x) OVER w AS h0, lead(x) OVER w - x AS h1, 6 * ((lead(v) OVER w - v) / (lead(x) OVER w - x) - (v - lag(v) OVER w) / (x - lag(x) OVER w)) AS r FROM k WINDOW w AS (PARTITION BY p ORDER BY n)),
+    b AS (SELECT p, n, c, r, CASE WHEN n = 2 THEN 0 WHEN n = c - 1 THEN h0 - h1 * h1 / h0 ELSE h0 END AS low, CASE WHEN n = c - 1 THEN 0 WHEN n = 2 THEN h1 - h0 * h0 / h1 ELSE h1 END AS high,
+        2 * (h0 + h1) + CASE WHEN n = 2 THEN h0 * (h0 + h1) / h1 ELSE 0 END + CASE WHEN n = c - 1 THEN h1 * (h0 + h1) / h0 ELSE 0 END AS mid FROM g WHERE n > 1 AND n < c),
+    f AS (SELECT p, n, c, mid, high, r FROM b WHERE n = 2 UNION ALL SELECT b.p, b.n, b.c, b.mid - b.low / f.mid * f.high, b.high, b.r - b.low / f.mid * f.r FROM f JOIN b ON b.p = f.p AND b.n = f.n + 1),
+    s AS (SELECT p, n, r / mid AS m FROM f WHERE n = c - 1 UNION ALL SELECT f.p, f.n, (f.r - f.high * s.m) / f.mid FROM s JOIN f ON f.p = s.p AND f.n = s.n - 1),
+    j AS (SELECT k.p, k.n, k.d, k.x, k.v, m FROM k LEFT JOIN s ON s.p = k.p AND s.n = k.n),
+    e AS (SELECT p, d, x, v, COALESCE(m, CASE WHEN n = 1 THEN ((lead(x, 2) OVER w - x) * lead(m) OVER w - (lead(x) OVER w - x) * lead(m, 2) OVER w) / (lead(x, 2) OVER w - lead(x) OVER w)
+        ELSE ((x - lag(x, 2) OVER w) * lag(m) OVER w - (x - lag(x) OVER w) * lag(m, 2) OVER w) / (lag(x) OVER w - lag(x, 2) OVER w) END) AS m FROM j WINDOW w AS (PARTITION BY p ORDER BY n)),
+    a AS (SELECT p, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS "at" FROM (SELECT p, min(d) AS lo, max(d) AS hi FROM k GROUP BY 1)),
+    q AS (SELECT a.p, a."at", e0.v AS v0, e1.v AS v1, e0.m AS m0, e1.m AS m1, e1.x - e0.x AS h, date_diff('day', e0.d, a."at")::DOUBLE AS t, date_diff('day', a."at", e1.d)::DOUBLE AS u FROM a ASOF JOIN e e0 ON a.p = e0.p AND a."at" >= e0.d ASOF JOIN e e1 ON a.p = e1.p AND a."at" <= e1.d)
+    SELECT p, "at", round(CASE WHEN h = 0 THEN v0 ELSE (m0 * u * u * u + m1 * t * t * t) / (6 * h) + (v0 / h - m0 * h / 6) * u + (v1 / h - m1 * h / 6) * t END, 4) AS value FROM q"""
+
+
+@query(_SPLINE)
 def ser_spline(t):
     """Cubic splines through each priority's months, by day."""
     s = _monthly(t)
-    return series.spline(s, series.date_grid(s, "day").withColumnRenamed("d", "at"), "at")
+    return series.spline(s, series.date_grid(s, "day").withColumnRenamed("d", "at"), "at").withColumn("value", F.round("value", 4))
 
 
 # User functions, schemas, terms, windows
@@ -555,4 +571,4 @@ def top_k_per_group(t):
 
 
 # The queries of further modules register themselves here.
-from tessera.plans import function_queries, series_queries, source_queries  # noqa: E402, F401
+from tessera.plans import function_queries, scan_queries, series_queries, source_queries  # noqa: E402, F401

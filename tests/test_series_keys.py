@@ -17,7 +17,7 @@ def test_without_a_key(spark):
     asked = spark.createDataFrame([(D(2023, 6, 20),), (D(2019, 2, 10),), (D(2025, 6, 17),)], "q date")
     got = {r["q"]: r["base"] for r in series.base_dates(s, asked, "q").collect()}
     assert got == {D(2023, 6, 20): D(2020, 7, 1), D(2019, 2, 10): D(2020, 2, 1), D(2025, 6, 17): D(2020, 7, 1)}
-    assert {r["base"] for r in series.base_dates(s, asked, "q", within=5).collect()} == {None}
+    assert {r["base"] for r in series.base_dates(s, asked, "q", within=5, fallback=False).collect()} == {None}
     full = series.interpolated_windows(s, [-10, 10], lambda a: F.size(a), full=True)
     assert full.count() == 11
     ends = s.mutual_borders(short).first()
