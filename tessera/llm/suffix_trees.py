@@ -112,13 +112,7 @@ def _contexts(window: int):
                 out.append((g, r["aid"], at, first, last, n, around))
                 size += len(around)
                 if len(places) > 1 and r["n"] == 1:
-                    runs: list[list[int]] = []
-                    for _, f, l, _ in places:  # noqa: E741
-                        if runs and f <= runs[-1][1] + 1:
-                            runs[-1][1] = max(runs[-1][1], l)
-                        else:
-                            runs.append([f, l])
-                    out += [(r["aid"] ^ (f << 20), r["aid"], 0, f, l, 0, None) for f, l in runs]  # noqa: E741
+                    out += [(r["aid"] ^ (a << 20), r["aid"], 0, a, b, 0, None) for a, b in _merged([p[1:3] for p in places])]
                 if size > 4 << 20 or len(out) > 1 << 15:
                     yield batch()
                     out, size = [], 0
@@ -128,15 +122,34 @@ def _contexts(window: int):
     return contexts
 
 
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges of window starts; those that touch become one."""
+    out: list[list[int]] = []
+    for first, last in ranges:
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return [(a, b) for a, b in out]
+
+
+_HOT = "w0 long, w1 long, aid long, starts array<struct<first int, last int>>, n long"
+
+
 def _hot_windows(window: int):
     def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts with their anchors to (w0, w1, aid, start, n): a hash of 128 bits for each window of a hot anchor."""
+        """Texts with their anchors to _HOT rows: a hash of 128 bits for each different window of hot anchors, with where it starts."""
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for r in _each_once(batches):
-            words = r["bytes"].split()
-            starts = np.array([s for _, first, last, _, hot in _picked(r, window) if hot for s in range(first, last + 1)], np.int32)
-            h = np.frombuffer(b"".join(xxh3_128_digest(b" ".join(words[s : s + window])) for s in starts.tolist()), np.int64).reshape(-1, 2)
-            whole = lambda v, kind: pa.array(np.full(len(starts), v), kind)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), whole(r["aid"], pa.int64()), pa.array(starts), whole(min(r["n"], 2), pa.int64())], ["w0", "w1", "aid", "start", "n"])
+            words, found = r["bytes"].split(), defaultdict(list)
+            for _, first, last, _, hot in _picked(r, window):
+                if hot:
+                    for s in range(first, last + 1):
+                        found[xxh3_128_digest(b" ".join(words[s : s + window]))].append((s, s))
+            h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            starts = [[{"first": a, "last": b} for a, b in _merged(v)] for v in found.values()]
+            n = [2 if len(v) > 1 or r["n"] > 1 else 1 for v in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(len(n), r["aid"])), pa.array(starts, kind), pa.array(n, pa.int64())], ["w0", "w1", "aid", "starts", "n"])
 
     return hot_windows
 
@@ -267,9 +280,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     around = rows.join(leads.hint("merge"), on).select("aid", "n", "words", "at", "first", "gram", "picks", "bytes")
     covered = around.mapInArrow(_contexts(window), _CONTEXT).repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_trees(window, held), "aid long, start int, end int")
     if counts.filter(F.col("rows") > group).limit(1).count():
-        hot = written(around.filter(F.exists("picks", lambda p: p["hot"])).mapInArrow(_hot_windows(window), "w0 long, w1 long, aid long, start int, n long"), "windows")
+        hot = written(around.filter(F.exists("picks", lambda p: p["hot"])).mapInArrow(_hot_windows(window), _HOT), "windows")
         often = hot.groupBy("w0", "w1").agg(F.sum("n").alias("all")).filter("all > 1").drop("all")
-        covered = covered.unionByName(hot.join(often.hint("merge"), ["w0", "w1"]).select("aid", "start", (F.col("start") + window).alias("end")))
+        starts = hot.join(often.hint("merge"), ["w0", "w1"]).select("aid", F.explode("starts").alias("s"))
+        covered = covered.unionByName(starts.select("aid", F.col("s.first").alias("start"), (F.col("s.last") + window).alias("end")))
     spans = written(covered.groupBy("aid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("words").cast("int").alias("end")))
     single = texts.filter("n = 1").join(spans.hint("merge"), "aid").select("t0", "t1", "spans")
