@@ -142,6 +142,25 @@ def group_fold(df: DataFrame, keys: list[str], values: list[str], order: str) ->
     return out.select(*keys, *(F.col("__rows")[v].alias(v) for v in values))
 
 
+def group_fold_parts(df: DataFrame, keys: list[str], values: list[str], order: str, size: int = 1 << 12, part: str = "part") -> DataFrame:
+    """group_fold in parts: a row for each `size` rows of a key, in the given order, numbered from 0. No row holds a hot key's whole list, and no task its rows."""
+    from tessera.names import free, hidden
+    from tessera.operators.scan import Blocks
+
+    free(df, part)
+    n, rows = hidden(df, "n", "rows")
+    numbered = Blocks(df.select(*dict.fromkeys([*keys, order, *values])), tuple(keys), [order]).running({n: ("sum", F.lit(1).cast("long"))}).df
+    numbered = numbered.withColumn(part, F.floor((F.col(n) - 1) / size))
+    out = numbered.groupBy(*keys, part).agg(F.sort_array(F.collect_list(F.struct(n, *values))).alias(rows))  # at most `size` values
+    return out.select(*keys, part, *(F.col(rows)[v].alias(v) for v in values))
+
+
+def unfold_parts(df: DataFrame, lists: list[str], number: str = "n", part: str = "part", size: int = 1 << 12) -> DataFrame:
+    """The rows of group_fold_parts, numbered through a key's parts from 0. size as it was for the fold."""
+    out = unfold(df, lists, number)
+    return out.withColumn(number, F.col(part) * size + F.col(number)).drop(part)
+
+
 def unfold(df: DataFrame, lists: list[str], number: str = "n", default=0) -> DataFrame:
     """A row for each place of the parallel lists, with its number; shorter lists are filled up with the default."""
     size = F.greatest(*(F.size(c) for c in lists)) if len(lists) > 1 else F.size(lists[0])

@@ -2,11 +2,14 @@
 
 import datetime
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import relational, scan, series
+from tessera.operators.quantiles import quantiles
 from tessera.operators.series import Series
 from tessera.plans.catalogue import _BY, _monthly, many, query
+from tessera.sources.buckets import merge_join, write_bucketed
 
 _LINES = "ORDER BY l_shipdate, l_orderkey, l_linenumber"
 _ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
@@ -83,3 +86,39 @@ def ser_smooth_days_rows(t):
     """A range of days over series with many rows a day: days are summed before windows see them."""
     rows = t("lineitem").select(F.col("l_returnflag").alias("p"), F.to_date("l_shipdate").alias("d"), "l_orderkey", "l_linenumber", "l_quantity")
     return Series(rows, "d", "l_quantity", ("p",)).smooth_days(30).drop("l_quantity")
+
+
+@query("SELECT l_returnflag, median(l_extendedprice) AS middle, quantile_cont(l_extendedprice, 0.25) AS low, quantile_cont(l_extendedprice, 0.9) AS high FROM lineitem GROUP BY 1")
+def group_exact_quantiles(t):
+    """Exact quantiles of three hot groups, by selection: lists of 1,000 values at most."""
+    return quantiles(t("lineitem"), ["l_returnflag"], "l_extendedprice", {"middle": 0.5, "low": 0.25, "high": 0.9}, rest=1000)
+
+
+@query("SELECT median(value) AS middle, quantile_cont(value, 0.99) AS high FROM events")
+def exact_quantiles_of_all(t):
+    return quantiles(t("events"), [], "value", {"middle": 0.5, "high": 0.99}, rest=100)
+
+
+@query("SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) - 1 AS n, l_partkey, l_quantity FROM lineitem")
+def group_fold_parts(t):
+    """Three hot keys folded in parts of 1,000 rows and unfolded in order."""
+    rows = t("lineitem").select("l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_partkey", "l_quantity")
+    parts = relational.group_fold_parts(rows, ["l_returnflag"], ["l_partkey", "l_quantity"], "line", size=1000)
+    return relational.unfold_parts(parts, ["l_partkey", "l_quantity"], size=1000)
+
+
+@query("SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
+def merge_join_buckets(t):
+    """Orders with their lines from two bucketed tables: neither side moves for the join."""
+    spark = SparkSession.active()
+    left = write_bucketed(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey", 16)
+    right = write_bucketed(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity"), "o_orderkey", 16)
+    return merge_join(spark, left, right, "o_orderkey")
+
+
+@query("SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def merge_join_grouped(t):
+    """The last order of each customer and their number, from one bucketed table: groups and the join follow its buckets."""
+    spark = SparkSession.active()
+    orders = write_bucketed(t("orders").select("o_custkey", "o_orderkey"), "o_custkey", 16)
+    return merge_join(spark, orders, orders, "o_custkey", "inner", right_is_uniq=True, last_by="o_orderkey").groupBy("o_custkey").agg(many().alias("n"), F.max("o_orderkey").alias("last"))
