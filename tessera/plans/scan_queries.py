@@ -11,8 +11,8 @@ from tessera.operators.series import Series
 from tessera.plans.catalogue import _BY, _monthly, many, query
 from tessera.sources.buckets import merge_join, write_bucketed
 
-_LINES = "ORDER BY l_shipdate, l_orderkey, l_linenumber"
-_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
+_LINES = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey"
+_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_quantity, sum(l_quantity) OVER ({_LINES} ROWS UNBOUNDED PRECEDING) AS cumulated, max(l_extendedprice) OVER ({_LINES} ROWS UNBOUNDED PRECEDING) AS record, count(*) OVER ({_LINES} ROWS UNBOUNDED PRECEDING) AS n FROM lineitem")
@@ -99,10 +99,10 @@ def exact_quantiles_of_all(t):
     return quantiles(t("events"), [], "value", {"middle": 0.5, "high": 0.99}, rest=100)
 
 
-@query("SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) - 1 AS n, l_partkey, l_quantity FROM lineitem")
+@query("SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate) - 1 AS n, l_partkey, l_quantity FROM lineitem")
 def group_fold_parts(t):
     """Three hot keys folded in parts of 1,000 rows and unfolded in order."""
-    rows = t("lineitem").select("l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_partkey", "l_quantity")
+    rows = t("lineitem").select("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").alias("line"), "l_partkey", "l_quantity")
     parts = relational.group_fold_parts(rows, ["l_returnflag"], ["l_partkey", "l_quantity"], "line", size=1000)
     return relational.unfold_parts(parts, ["l_partkey", "l_quantity"], size=1000)
 
