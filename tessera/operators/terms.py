@@ -5,6 +5,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.names import hidden
+
 #: Column types by role.
 ROLE_TYPES = {"id": "bigint", "name": "string", "key": "string", "repr": "string", "ids": "array<bigint>", "count": "bigint", "share": "double", "value": "double", "mean": "double"}
 
@@ -28,11 +30,16 @@ class Term:
         other.relations[self.name] = reverse
         return self
 
-    def lookup(self, df: DataFrame, dictionary: DataFrame, role: str, into: str, default=None) -> DataFrame:
-        """Adds the column of role `into` from a dictionary table of both columns; unknown values get the default."""
+    def lookup(self, df: DataFrame, dictionary: DataFrame, role: str, into: str, default=None, last_by: str | None = None) -> DataFrame:
+        """Adds the column of role `into` from a dictionary table of both columns; unknown values get the default. A null key is a key.
+
+        Of several values of a key the last one by last_by counts, or the largest.
+        """
         a, b = self.column(role), self.column(into)
-        known = dictionary.select(F.col(a).alias("__k"), F.col(b).alias("__v")).dropDuplicates(["__k"])
-        return df.join(known, F.col(a) == F.col("__k"), "left").withColumn(b, F.coalesce("__v", F.lit(default))).drop("__k", "__v")
+        k, v = hidden([df, dictionary], "k", "v")
+        value = F.max_by(b, F.struct(F.col(last_by), F.col(b))) if last_by else F.max(b)
+        known = dictionary.groupBy(F.col(a).alias(k)).agg(value.alias(v))
+        return df.join(known, F.col(a).eqNullSafe(F.col(k)), "left").withColumn(b, F.coalesce(v, F.lit(default))).drop(k, v)
 
     def add_key(self, df: DataFrame, delimiter: str = ".") -> DataFrame:
         """The key of a hierarchical term: its levels' ids, joined."""

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from tessera.sources.schema import from_text, schema_by_names
 
 DELIMITERS = {"csv": ",", "tsv": "\t"}
+#: What may stand between the fields of a line, the first that occurs decides.
+LINE_DELIMITERS = ("\t", "; ", ", ", ";", ",", " ")
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None, schema: str | None = None, header: bool = True) -> DataFrame:
@@ -63,25 +65,17 @@ def write_table(df: DataFrame, url: str, table: str, batch: int = 1000, mode: st
 
 
 def safe_write_table(df: DataFrame, url: str, table: str, least_share: float = 0.9, **options: str) -> int:
-    """Replaces a table by way of a staging table: written first, counted, and copied over only if it holds enough of the rows; returns the count."""
-    staging = f"{table}_tmp_upload"
-    write_table(df, url, staging, mode="overwrite", **options)
-    want, got = df.count(), read_table(df.sparkSession, url, staging, **options).count()
-    if got < least_share * want:
-        raise ValueError(f"{staging} holds {got} of {want} rows; {table} is left as it was")
-    write_table(read_table(df.sparkSession, url, staging, **options), url, table, mode="overwrite", **options)
-    return got
+    """Replaces a table at once, by way of one written aside (see Database.upload); returns its rows."""
+    from tessera.sources.database import Database
+
+    return Database(df.sparkSession, url, **options).upload(df, table, max_error_rate=1 - least_share)
 
 
 def table_exists(spark: SparkSession, url: str, table: str, **options: str) -> bool:
-    from pyspark.errors import AnalysisException
-    from py4j.protocol import Py4JJavaError
+    """Whether there is the table; an error if the database cannot be asked."""
+    from tessera.sources.database import Database
 
-    try:
-        read_table(spark, url, table, **options).schema
-    except (AnalysisException, Py4JJavaError):
-        return False
-    return True
+    return Database(spark, url, **options).exists(table)
 
 
 def describe_table(spark: SparkSession, url: str, table: str, **options: str) -> list[tuple[str, str]]:
@@ -89,9 +83,9 @@ def describe_table(spark: SparkSession, url: str, table: str, **options: str) ->
     return read_table(spark, url, table, **options).dtypes
 
 
-def detect_delimiter(line: str, delimiters: str = "\t; ,|") -> str:
-    """The delimiter that occurs in the line, the first of those listed; a comma if none does."""
-    return next((d for d in delimiters if d in line), ",")
+def detect_delimiter(line: str, delimiters: tuple[str, ...] = LINE_DELIMITERS, default: str = "\t") -> str:
+    """The first of the listed delimiters that occurs in the line; a tab if none does."""
+    return next((d for d in delimiters if d in line), default)
 
 
 def first_line(spark: SparkSession, path: str) -> str | None:

@@ -46,7 +46,7 @@ def test_a_job_runs_again_after_a_failed_run(spark, tmp_path):
 
 def test_lines_and_listings(spark, tmp_path):
     files.write(spark.createDataFrame([("a;b",), ("c",)], "line string").coalesce(1), f"{tmp_path}/x.txt")
-    assert files.first_line(spark, f"{tmp_path}/x.txt") == "a;b" and files.detect_delimiter("a;b, c") == ";" and files.detect_delimiter("a b,c") == " " and files.detect_delimiter("abc") == ","
+    assert files.first_line(spark, f"{tmp_path}/x.txt") == "a;b" and [files.detect_delimiter(x) for x in ("a;b, c", "a b,c", "abc", "full name,age", "a, b", "a; b, c", "a b", "a;b\tc")] == [", ", ",", "\t", ",", ", ", "; ", " ", "\t"]
     assert files.listing(spark, f"{tmp_path}", "part-*.txt", recursive=True).count() == 1
 
 
