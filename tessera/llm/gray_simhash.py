@@ -6,10 +6,6 @@ link meet in one of them. Within its groups a task sorts by Gray rank, so that n
 a hierarchy: a node holds the pattern of the bits that all below it share and that no node above it holds. A query adds up
 the differences on the way down and leaves a whole node as soon as they exceed the limit. Tasks return a spanning forest of
 their links, and a join of small tables finds the components.
-
-keep_one, for whole texts that are near copies, takes shingles of five words and several fingerprints of different hashes:
-two texts link if any of these do. One fingerprint in 3 bits finds few texts of a similarity near 0.8; eight find most of
-those above 0.9, and hardly any below 0.75.
 """
 
 from collections.abc import Iterator
@@ -17,12 +13,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tessera.llm.common import hidden, no_null, partitions, text_slices, written
+from tessera.llm.common import no_null, partitions, text_slices, written
 
 BITS = 3
 #: Children of a node; and the rows of a group beyond which it is split into parts, every two of which meet in one task.
@@ -31,31 +27,26 @@ FAN, SPLIT = 8, 8192
 FRONT = 1 << 20
 
 
-def fingerprints(text: str, words_each: int = 3, prints: int = 1, seed: int = 42) -> np.ndarray:
-    """The first from the shingles' XXH64, the others from that hash mixed with their number."""
+def shingle_hashes(text: str, words_each: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle in order, of the whole sequence if there are fewer words, none without words."""
     words = text.encode("utf-8", "replace").lower().split()  # of bytes: A-Z alone, and exactly the white space x20 and x09-x0D
-    out = np.zeros(prints, np.uint64)
     if not words:
-        return out
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - words_each + 1)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(words_each)), strict=False)) if len(words) >= words_each else [b" ".join(words)]
-    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
-    for k in range(prints):
-        x = h
-        if k:
-            x = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, n, 1 << 16):
-            ones += np.unpackbits(x[i : i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
-    return out
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+
+
+def simhash(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
 def fingerprint(text: str) -> int:
-    return int(fingerprints(text)[0])
+    return simhash(shingle_hashes(text, 3))
 
 
 @F.arrow_udf(T.LongType())
@@ -65,17 +56,6 @@ def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(got.view(np.int64), pa.int64())
 
 
-def _many(words_each: int, prints: int):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def many(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            got = [fingerprints(t, words_each, prints) for part in text_slices(texts) for t in part]
-            flat = np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * prints), pa.array(flat))
-
-    return many.asNondeterministic()
-
-
 def gray_rank(x: np.ndarray) -> np.ndarray:
     for shift in (1, 2, 4, 8, 16, 32):
         x = x ^ (x >> np.uint64(shift))
@@ -219,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def _links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame) -> DataFrame:
     """(k, a, b): links that span the components of the fingerprints (k, fp) of each number k."""
     # Each row becomes 16: as many tasks as partitions, however small the table is before.
     prints = prints.repartition(partitions(prints.sparkSession), "fp")
@@ -237,8 +217,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     rows = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(no_null(text_col)).alias("sum"), _fingerprints.asNondeterministic()(no_null(text_col)).alias("fp")), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "sum")).alias("first")), "prints")
-    links = _links(prints.select(F.lit(0).cast("long").alias("k"), "fp")).select("a", "b")
-    roots = components(links)
+    edges = links(prints.select(F.lit(0).cast("long").alias("k"), "fp")).select("a", "b")
+    roots = components(edges)
     roots = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
     near = written(prints.join(roots, prints["fp"] == roots["node"]).select("fp", "root", "first"), "near")
     least = near.groupBy("root").agg(F.min("first").alias("least"))
@@ -259,33 +239,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows, of = _grouped(docs, id_col, text_col)
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, prints: int = 8) -> DataFrame:
-    """One row of docs for each group of near copies: that of the smallest id (nulls last), of equal ids that of the smallest text hash, of equal rows any one. All columns stay.
-
-    Texts link if one of their fingerprints (so many, of shingles of so many words) differs in 3 bits or fewer; groups are
-    what links reach. Null texts are empty; texts without words are one group. An empty table gives an empty one.
-
-    Equal texts meet in one grouping, combined before the shuffle. Each fingerprint is compared within its number alone, as
-    in near_duplicates; a text then joins its fingerprints that link or that it shares with another text.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(no_null(text_col)).alias("sum"), _many(words_each, prints)(no_null(text_col)).alias("fps"))
-    first = F.min(F.struct(F.isnull("id").alias("none"), "id", "sum")).alias("first")
-    texts = written(rows.groupBy("fps").agg(first).withColumn("of", F.xxhash64(F.lit("text"), "fps")), "texts")
-    nodes = written(texts.select("of", F.posexplode("fps").alias("k", "fp")).select("of", F.col("k").cast("long").alias("k"), "fp", F.xxhash64("k", "fp").alias("node")), "nodes")
-    shared = nodes.groupBy("k", "fp", "node").agg(F.count(F.lit(1)).alias("n"))
-    node = lambda c: F.xxhash64(F.col("k").cast("int"), c)
-    links = written(_links(shared.select("k", "fp")).select(node("a").alias("a"), node("b").alias("b")), "links")
-    active = links.select("a").union(links.select("b")).union(shared.filter("n > 1").select("node")).distinct().withColumnRenamed("a", "node")
-    ties = nodes.join(active, "node").select(F.col("of").alias("a"), F.col("node").alias("b"))
-    roots = components(links.unionByName(ties))
-    roots = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "of"), "text-roots")
-    known = texts.join(roots, "of", "left").select(F.coalesce("root", "of").alias("root"), "first")
-    best = known.groupBy("root").agg(F.min("first").alias("best"))
-    id_, sum_, own_, place_ = hidden(docs, "id", "sum", "own", "place")
-    best = written(best.select(F.col("best.id").alias(id_), F.col("best.sum").alias(sum_)), "kept")
-    rows = docs.withColumn(own_, F.xxhash64(no_null(text_col)))
-    rows = rows.join(best, (rows[own_] == best[sum_]) & rows[id_col].eqNullSafe(best[id_]), "left_semi")
-    place = F.row_number().over(Window.partitionBy(own_, id_col).orderBy(own_))
-    return rows.withColumn(place_, place).filter(F.col(place_) == 1).select(*docs.columns)

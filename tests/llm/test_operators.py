@@ -8,14 +8,16 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from brute_near import Sets, brute_near, shingles, similarity
 from tokenizers import Tokenizer
 
 from tessera.llm.binary_packing import binary_lengths, pack_binary, write_buckets
 from tessera.llm.containment import contained_items
 from tessera.llm.encoding import Encoder
-from tessera.llm.gray_simhash import GrayIndex, components, keep_one, near_duplicates
+from tessera.llm.gray_simhash import GrayIndex, components, near_duplicates
 from tessera.llm.license_automaton import SuffixAutomaton, scan_licences
 from tessera.llm.line_chunks import drop_repeated_chunks
+from tessera.llm.near_copies import alike, keep_one
 from tessera.llm.queries import BYTE_BPE, WORD_BPE
 from tessera.llm.range_coder import decode_block, encode_block
 from tessera.llm.repetition import repetition_rules
@@ -175,24 +177,6 @@ def test_near_duplicates(spark, docs, none):
     assert near_duplicates(none).count() == 0
 
 
-def brute_prints(text, prints):
-    """Five-word fingerprints of several numbers, bit by bit."""
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-    if not words:
-        return (0,) * prints
-    shingles = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or [" ".join(words)]
-    out, full = [], (1 << 64) - 1
-    for k in range(prints):
-        h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
-        if k:
-            h = [x + k * 0x9E3779B97F4A7C15 & full for x in h]
-            h = [(x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full for x in h]
-            h = [(x ^ x >> 27) * 0x94D049BB133111EB & full for x in h]
-            h = [x ^ x >> 31 for x in h]
-        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-    return tuple(out)
-
-
 def test_keep_one(spark, docs, none):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
@@ -201,50 +185,53 @@ def test_keep_one(spark, docs, none):
         t = [rng.choice(words) for _ in range(300)]
         rows.append((i, " ".join(t)))
         for k in range(rng.choice([0, 1, 1, 2, 4])):
-            for _ in range(rng.choice([1, 2, 3])):
+            for _ in range(rng.choice([1, 3, 6, 9])):
                 t[rng.randrange(300)] = "changed"
             rows.append((1000 + 10 * i - k, " ".join(t)))
-    prints = {t: brute_prints(t, 4) for _, t in rows}
-    root = {t: t for t in prints}
-
-    def top(t):
-        while root[t] != t:
-            t = root[t]
-        return t
-
-    for a in prints:
-        for b in prints:
-            if a < b and any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b], strict=True)):
-                root[top(a)] = top(b)
-    best = {}
-    for i, t in rows:
-        best.setdefault(top(t), []).append((i is None, i or 0, t))
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __own string").repartition(5)
-    kept = keep_one(df, prints=4)
-    assert kept.columns == df.columns
-    got = kept.collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(min(g)[:2] for g in best.values()) and all(r["__own"] == "x" for r in got)
-    assert len(rows) - len(got) > 30
+    want = sorted((i is None, i or 0) for i, _ in brute_near(rows))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, __own string, of int").repartition(5)
+    # Small parts: hot clusters are split, and every two parts meet.
+    for options in ({}, {"split": 2}, {"shingles": 400}):
+        kept = keep_one(df, **options)
+        got = kept.collect()
+        assert kept.columns == df.columns and all(r["__own"] == "x" for r in got)
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == want
+    assert len(rows) - len(want) > 30
     assert keep_one(docs).columns == docs.columns and keep_one(none).count() == 0
 
 
 def test_near_copies_found_by_similarity(spark):
-    """Of random texts with changed words: nearly all pairs of a similarity of 0.9 and more, hardly any below 0.75."""
+    """Of random texts with changed words: nearly all pairs of a similarity of 0.8 and more in each band, and none below."""
     rng, rows, similar = random.Random(15), [], {}
-    shingles = lambda t: {tuple(t[j : j + 5]) for j in range(len(t) - 4)}
-    for i in range(400):
+    for i in range(700):
         t = [f"w{rng.randrange(10**6)}" for _ in range(300)]
         u = list(t)
-        for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 12, 16])):
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 12, 16])):
             u[rng.randrange(300)] = "changed"
-        a, b = shingles(t), shingles(u)
-        similar[i] = len(a & b) / len(a | b)
+        similar[i] = similarity(set(shingles(" ".join(t))), set(shingles(" ".join(u))))
         rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(u))]
     kept = {r["doc_id"] for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    assert all(2 * i in kept for i in range(400))
+    assert all(2 * i in kept for i in range(700))
     share = lambda low, high: (lambda of: sum(2 * i + 1 not in kept for i in of) / len(of))([i for i, s in similar.items() if low <= s < high])
-    print("recall by similarity", {(lo, hi): round(share(lo, hi), 2) for lo, hi in ((0.5, 0.75), (0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.0))})
-    assert share(0.95, 1.01) > 0.9 and share(0.9, 0.95) > 0.5 and share(0.5, 0.75) < 0.1
+    found = {(lo, hi): round(share(lo, hi), 3) for lo, hi in ((0.0, 0.8), (0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01))}
+    print("recall by similarity", found)
+    assert found.pop((0.0, 0.8)) == 0 and min(found.values()) >= 0.95
+
+
+def test_sets_alike():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(120)]
+    sets += [s[rng.random(len(s)) < 0.9] for s in sets]
+    got = Sets(range(len(sets)))
+    for a, b in zip(*alike(sets, 0.8), strict=True):
+        got.join(int(a), int(b))
+    want = Sets(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if similarity(set(x.tolist()), set(y.tolist())) >= 0.8:
+                want.join(i, j)
+    groups = lambda s: {frozenset(i for i in range(len(sets)) if s.top(i) == r) for r in map(s.top, range(len(sets)))}
+    assert groups(got) == groups(want) and 1 < len(groups(want)) < len(sets)
 
 
 def test_gray_index_finds_all_pairs():

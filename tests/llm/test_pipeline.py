@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
-from test_operators import brute_chunks, brute_prints
+from brute_near import brute_near
+from test_operators import brute_chunks
 from test_repetition import brute as brute_rules
 from tokenizers import Tokenizer
 
@@ -28,27 +29,6 @@ def brute_lines(rows):
     return out
 
 
-def brute_near(rows):
-    prints = {t: brute_prints(t, 8) for _, t in rows}
-    of = list(prints)
-    root = list(range(len(of)))
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in range(len(of)):
-        for b in range(a):
-            if any((x ^ y).bit_count() <= 3 for x, y in zip(prints[of[a]], prints[of[b]], strict=True)):
-                root[top(a)] = top(b)
-    number = {t: k for k, t in enumerate(of)}
-    best = {}
-    for i, t in sorted(rows):
-        best.setdefault(top(number[t]), (i, t))
-    return sorted(best.values())
-
-
 def brute_clean(rows, items):
     words = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
     shingles = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
