@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tessera.llm.binary_packing import pack_binary
 from tessera.llm.common import hidden, written
 from tessera.llm.containment import with_contained
-from tessera.llm.gray_simhash import keep_one
 from tessera.llm.line_chunks import drop_repeated_chunks
+from tessera.llm.near_copies import keep_one
 from tessera.llm.queries import WORD_BPE
 from tessera.llm.repetition import repetition_rules
 
@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, several fingerprints (see keep_one for what they find)."""
+    """One document of each group of near copies: candidates by fingerprints, links by a similarity of 0.8 in shingles of five words."""
     return keep_one(docs)
 
 
