@@ -43,11 +43,16 @@ _SCOPE = frozenset("table ul ol dl select html body".split())
 #: No article: by element, and by a role that says so.
 _DROP = frozenset("head title script style noscript template nav footer aside form button select option input textarea iframe object embed canvas svg audio video menu dialog noframes noembed xmp".split())
 _DROP_ROLES = frozenset("navigation contentinfo complementary search form dialog alertdialog menu menubar".split())
-#: Reader comments, by a word of class or id.
+#: Reader comments, by a word of class or id (see _says).
 _COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 #: Marks that the style tree decides about: roles, and words of class or id.
 _MARK_ROLES = frozenset("banner alert toolbar".split())
 _MARK_WORDS = frozenset("ad ads advert advertisement adverts adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead related recommended share sharing social popup modal overlay widget pagination pager toolbar search skip".split())
+#: Parts of a class word that name a piece of layout, and those that speak of what lies elsewhere.
+_LAYOUT = frozenset("area bar block body bottom box btn button buttons card cell column container content feed footer form frame group head header holder icon icons inline inner item items left link links list main outer panel placeholder region right row section slot space strip thread top unit wrap wrapper zone".split())
+_ELSEWHERE = frozenset("has have hide is js no non not show toggle with without".split())
+_PART = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])")
+_SIZE = re.compile(r"\d+(?:x\d+)?")
 _PLAIN, _MARKED, _GONE = 0, 1, 2
 #: Of those, what a browser never shows as text of the page.
 _NO_TEXT = frozenset("title script style noscript template button select option input textarea iframe object embed canvas svg audio video noframes noembed xmp".split())
@@ -64,6 +69,18 @@ class Node:
         self.id = xxh64_intdigest(f"{mark} {name}".encode("utf-8", "replace"), parent.id & _SEED if parent else 0) - (1 << 63)
 
 
+def _says(value: str, words: frozenset[str]) -> bool:
+    """Whether a class or id names one of the words: as a whole, as its last part (site-footer), or as its first before layout or a size (ad-slot, commentList, ad_300x250)."""
+    for token in value.split():
+        if token.lower() in words:
+            return True
+        parts = [p for p in _PART.split(token) if p]
+        if len(parts) > 1 and (low := [p.lower() for p in parts])[0] not in _ELSEWHERE:
+            if low[-1] in words or low[0] in words and all(p in _LAYOUT or _SIZE.fullmatch(p) for p in low[1:]):
+                return True
+    return False
+
+
 def _node(tag: str, attributes: str, parent: Node) -> Node:
     name, mark = tag, _GONE if tag in _DROP else _PLAIN
     if attributes and len(attributes) > 3:
@@ -73,13 +90,13 @@ def _node(tag: str, attributes: str, parent: Node) -> Node:
             if kind in seen:  # of equal names the first counts
                 continue
             seen.add(kind)
-            value = (m[2] or m[3] or m[4] or "").lower()
+            given = m[2] or m[3] or m[4] or ""
+            value = given.lower()
             if kind == "class":
                 name = ".".join([tag, *sorted(value.split())])
             if kind in ("class", "id"):
-                words = value.split()
-                if tag not in ("html", "body", "article", "main"):
-                    mark = max(mark, _GONE if not _COMMENTS.isdisjoint(words) else _PLAIN if _MARK_WORDS.isdisjoint(words) else _MARKED)
+                if value and tag not in ("html", "body", "article", "main"):
+                    mark = max(mark, _GONE if _says(given, _COMMENTS) else _MARKED if _says(given, _MARK_WORDS) else _PLAIN)
             elif kind == "role":
                 mark = max(mark, _GONE if value.strip() in _DROP_ROLES else _MARKED if value.strip() in _MARK_ROLES else _PLAIN)
             elif kind == "hidden" or kind == "aria-hidden" and value.strip() == "true" or kind == "style" and _NO_DISPLAY.search(value):
@@ -328,9 +345,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     known = written(low_branches(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))), "low-branches").withColumnRenamed("host", "__of")
 
     @F.arrow_udf("string")
-    def extracted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for pages, low in batches:
-            yield pa.array([main_text(p.as_py(), frozenset(x.as_py() or ())) for p, x in zip(pages, low, strict=True)], pa.string())
+    def extracted(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last, known = None, frozenset()
+        for pages, hosts, low in batches:
+            out = []
+            for p, h, x in zip(pages, hosts.to_pylist(), low, strict=True):
+                if h != last:  # pages of a host stand side by side: its branches become a set once
+                    last, known = h, frozenset(x.as_py() or ())
+                out.append(main_text(p.as_py(), known))
+            yield pa.array(out, pa.string())
 
     out = rows.join(known, F.col("__host") == F.col("__of"), "left")
-    return out.select(id_col, url_col, extracted.asNondeterministic()("__html", "low").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(id_col, url_col, extracted.asNondeterministic()("__html", "__host", "low").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

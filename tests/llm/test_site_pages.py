@@ -31,6 +31,18 @@ def test_marks_that_drop(mark):
     assert main_text(f"<body><div {mark}>other</div>{BODY}</body>") == TEXT
 
 
+@pytest.mark.parametrize("mark", ["comment-list", "user-comments", "comments-area", "commentList", "comments_thread", "ad-slot", "ad_300x250", "adSlot", "cookie-banner", "newsletter-signup", "site-footer", "siteFooter", "share-buttons"])
+def test_parts_of_words_that_drop(mark):
+    page = f'<body><div class="x {mark}">other words</div>{BODY}</body>'
+    assert main_text(page) == TEXT and main_text(page.replace("class=", "id=")) == TEXT
+    assert main_text(f'<body><article><div class="{mark}">other words</div>{BODY}</article></body>') == TEXT
+
+
+@pytest.mark.parametrize("mark", ["no-comments", "has-sidebar", "with_footer", "notice-of-appeal", "social-history", "search-results", "adventure", "download-list", "commentary", "headers", "toggle-menu"])
+def test_parts_of_words_that_say_nothing(mark):
+    assert main_text(f'<body><div class="{mark}">other words</div>{BODY}</body>') == f"other words\n{TEXT}"
+
+
 def test_beside_an_article_no_teasers_or_long_comments():
     assert main_text(f'<article>{BODY}</article><aside><article>teaser</article></aside><div class="comments">{"Great! " * 100}</div>') == TEXT
 
