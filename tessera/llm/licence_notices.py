@@ -1,6 +1,7 @@
 """Notices and short texts of public licences, by label.
 
-Fixed values: the wording is that of the licences' publishers. Longer texts (a whole GPL, say) are read from files: see read_templates.
+Fixed values: the wording of PUBLISHED is that of the licences' publishers. STATEMENTS are the sentences by which authors
+name a licence in their own words; they are no one's published text. Longer texts (a whole GPL, say) are read from files: see read_templates.
 """
 
 _GPL = (
@@ -30,7 +31,7 @@ _MIT_REST = (
 _CC = "This work is licensed under a Creative Commons {} {} License"
 _CC_KINDS = {"cc-by": "Attribution", "cc-by-sa": "Attribution-ShareAlike", "cc-by-nc": "Attribution-NonCommercial", "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike", "cc-by-nd": "Attribution-NoDerivatives", "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
 
-TEMPLATES: dict[str, tuple[str, ...]] = {
+PUBLISHED: dict[str, tuple[str, ...]] = {
     "agpl-3": (_GPL.format(name="Affero General Public License", version=_LATER.format(3)),),
     "apache-2": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
@@ -46,8 +47,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     **{label: tuple(_CC.format(kind, version) for version in ("4.0 International", "3.0 Unported")) for label, kind in _CC_KINDS.items()},
     "cc0-1": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",),
     "epl-2": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",),
-    "gpl-2": (_GPL.format(name="General Public License", version=_LATER.format(2)), "this work is licensed under the GNU General Public License version 2"),
-    "gpl-3": (_GPL.format(name="General Public License", version=_LATER.format(3)), "this work is licensed under the GNU General Public License version 3"),
+    "gpl-2": (_GPL.format(name="General Public License", version=_LATER.format(2)),),
+    "gpl-3": (_GPL.format(name="General Public License", version=_LATER.format(3)),),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
@@ -65,6 +66,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
+_FAMILIES = {"gpl": ("General Public License", "GPL", ("2", "3")), "lgpl": ("Lesser General Public License", "LGPL", ("2.1", "3")), "agpl": ("Affero General Public License", "AGPL", ("3",))}
+_SAYINGS = ("this work is licensed under the GNU {} version {}", "licensed under the GNU {} version {} only", "licensed under the GNU {} version {} or later", "released under the terms of the GNU {} version {}", "distributed under the terms of the GNU {} version {}")
+#: Informal statements, by a rule: each saying with a licence's full and short name and each version.
+STATEMENTS = {f"{family}-{v}": tuple(s.format(name, v) for s in _SAYINGS for name in (full, short)) for family, (full, short, versions) in _FAMILIES.items() for v in versions}
+TEMPLATES = {label: (*PUBLISHED.get(label, ()), *STATEMENTS.get(label, ())) for label in sorted({*PUBLISHED, *STATEMENTS})}
+
 
 def read_templates(paths: dict[str, str]) -> dict[str, tuple[str, ...]]:
     """TEMPLATES with whole licence texts from local files added, by label: for the driver, which sends them with the scan."""

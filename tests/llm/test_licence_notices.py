@@ -117,3 +117,13 @@ def test_whole_texts_from_files(tmp_path):
     if os.path.exists(gpl := "/usr/share/common-licenses/GPL-3"):
         scan = LicenceScan(templates=read_templates({"gpl-3-text": gpl})).scan
         assert "gpl-3-text" in scan(open(gpl).read())[5]
+
+
+def test_statements_in_an_authors_own_words():
+    scan = LicenceScan(PHRASES, TEMPLATES).scan
+    for text, label in {
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2", "Licensed under the GNU GPL version 2 only": "gpl-2", "It is licensed under the GNU GPL, version 3 or later.": "gpl-3", "Released under the terms of the GNU Lesser General Public License version 2.1": "lgpl-2.1",
+        "distributed under the terms of the GNU AGPL version 3": "agpl-3", "licensed under the GNU Affero General Public License version 3 or later": "agpl-3",
+    }.items():
+        assert scan(f"some words before. {text} and some words behind")[5] == label, text
+    assert all(scan(t)[5] == "" for t in ("licensed under a song", "the terms of the agreement", "released under the terms of the contract version 2"))
