@@ -8,7 +8,7 @@ from tessera.operators import profile, relational
 from tessera.operators.series import Series
 from tessera.sources import files, schema
 
-_RELATIONAL = ("select", "where", "enumerate_rows", "group_fold", "unfold", "run_id", "uniq", "sum_by_keys", "first_values", "sort", "take", "skip", "top_n_by", "chunks", "add_sum_share", "flat_map", "map_rows", "having_columns", "dictionary")
+_RELATIONAL = ("select", "where", "enumerate_rows", "group_fold", "group_fold_parts", "unfold", "unfold_parts", "run_id", "uniq", "sum_by_keys", "first_values", "sort", "take", "skip", "top_n_by", "chunks", "add_sum_share", "flat_map", "map_batches", "map_rows", "having_columns", "dictionary")
 _PROFILE = ("hist", "histograms", "stat", "aggregate", "unpivot", "meld_other", "smaller_types", "cumulated_by")
 
 

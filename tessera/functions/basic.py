@@ -193,9 +193,14 @@ def joined(a, delimiter: str = ", ", default: str = ""):
     return F.coalesce(F.array_join(F.transform(col(a), lambda x: x.cast("string")), delimiter), F.lit(default))
 
 
-def in_sample(c, buckets: int, bucket: int = 0):
-    """Whether a stable hash puts the value in one of so many buckets."""
-    return F.pmod(F.xxhash64(col(c)), F.lit(buckets)) == bucket
+def in_sample(c, buckets: int, bucket: int = 0, hashed=F.xxhash64):
+    """Whether a stable hash (by default XXH64; any function to a whole number) puts the value in one of so many buckets."""
+    return F.pmod(hashed(col(c)), F.lit(buckets)) == bucket
+
+
+def md5_number(c):
+    """The first 32 bits of the MD5 of a value's text: a hash that other databases have too."""
+    return F.conv(F.substring(F.md5(col(c).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
 def detect_group(c, groups: dict[str, list], default: str = "other"):

@@ -285,6 +285,17 @@ def flat_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """function(Arrow batch) gives a batch or table of the schema: for functions that no column expression can state but that work on whole columns."""
+
+    def run(batches):
+        for b in batches:
+            out = function(b)
+            yield from out.to_batches() if hasattr(out, "to_batches") else [out]
+
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return flat_map(df, lambda row: [function(row)], schema)
 

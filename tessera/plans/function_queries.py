@@ -9,6 +9,7 @@ from tessera.functions import arrays, basic, dates, numeric, text
 from tessera.operators import profile, relational
 from tessera.operators.terms import Term, entity_records
 from tessera.plans.catalogue import big, many, money, query
+from tessera.sources import schema
 
 # Predicates and values
 
@@ -246,3 +247,21 @@ def term_levels(t):
 @query("SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total FROM orders GROUP BY 1")
 def group_by_key(t):
     return t("orders").groupBy("o_custkey").agg(money("o_totalprice").alias("total"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE ('0x' || substr(md5(o_custkey::VARCHAR), 1, 8))::BIGINT % 10 = 3")
+def in_sample(t):
+    """A tenth of the customers with all their orders, by a hash that DuckDB has too."""
+    return t("orders").filter(basic.in_sample("o_custkey", 10, 3, basic.md5_number)).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, make_date(floor(x)::INT, 1, 1) + round((x - floor(x)) * 365)::INT AS day FROM (SELECT o_orderkey, year(o_orderdate) + o_orderkey % 365 / 365 AS x FROM orders)")
+def date_from_decimal_year(t):
+    x = F.year("o_orderdate") + F.col("o_orderkey") % 365 / 365
+    return t("orders").select("o_orderkey", dates.date_from_year(x).alias("day"))
+
+
+@query("SELECT 'c_custkey' AS \"column\", 'same' AS state, 'bigint' AS wanted, 'bigint' AS type, count(c_custkey) / count(*) AS defined_share FROM customer UNION ALL SELECT 'c_name', 'other type', 'int', 'string', count(c_name) / count(*) FROM customer UNION ALL SELECT 'c_phone', 'missing', 'string', NULL, NULL UNION ALL SELECT 'c_acctbal', 'unexpected', NULL, 'double', count(CASE WHEN c_acctbal > 0 THEN 1 END) / count(*) FROM customer")
+def schema_comparison(t):
+    rows = t("customer").select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return schema.comparison(rows, "c_custkey bigint, c_name int, c_phone string")

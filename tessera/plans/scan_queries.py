@@ -2,6 +2,8 @@
 
 import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -122,3 +124,15 @@ def merge_join_grouped(t):
     spark = SparkSession.active()
     orders = write_bucketed(t("orders").select("o_custkey", "o_orderkey"), "o_custkey", 16)
     return merge_join(spark, orders, orders, "o_custkey", "inner", right_is_uniq=True, last_by="o_orderkey").groupBy("o_custkey").agg(many().alias("n"), F.max("o_orderkey").alias("last"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity >= 20 THEN (l_quantity - 20) % 7 ELSE l_quantity % 3 END AS left_over FROM lineitem")
+def udf_map_batches(t):
+    """A function over whole columns, a batch at a time."""
+
+    def run(b: pa.RecordBatch) -> pa.Table:
+        q = b.column("l_quantity").to_numpy()
+        return pa.table({c: b.column(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")} | {"left_over": np.where(q >= 20, (q - 20) % 7, q % 3)})
+
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return relational.map_batches(rows, run, "l_orderkey long, l_linenumber int, l_partkey long, left_over double")

@@ -66,6 +66,17 @@ def differences(df: DataFrame, schema: str) -> dict[str, list[str]]:
     return {"missing": [n for n in want if n not in have], "unexpected": [n for n in have if n not in want], "types": [n for n in want if n in have and want[n] != have[n]]}
 
 
+def comparison(df: DataFrame, schema: str) -> DataFrame:
+    """A row for each column of the frame or the schema: its state (same, other type, missing, unexpected), both types, and the share of defined values."""
+    want, have = ({n: k for n, k in kinds} for kinds in ([(f.name, f.dataType.simpleString()) for f in _schema(schema).fields], df.dtypes))
+    state = lambda n: "missing" if n not in have else "unexpected" if n not in want else "same" if want[n] == have[n] else "other type"
+    names = [*want, *(n for n in have if n not in want)]
+    text = lambda v: F.lit(v).cast("string")
+    rows = F.explode(F.array(*(F.struct(text(n).alias("column"), text(state(n)).alias("state"), text(want.get(n)).alias("wanted"), text(have.get(n)).alias("type")) for n in names))).alias("r")
+    known = summary(df).select("column", "defined_share")
+    return df.sparkSession.range(1).select(rows).select("r.*").join(known, "column", "left")
+
+
 def summary(df: DataFrame) -> DataFrame:
     """A row for each column: its name, type, and share of defined values."""
     one = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(f"c{i}") for i, c in enumerate(df.columns)))
