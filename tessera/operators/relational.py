@@ -79,14 +79,23 @@ def enumerate_rows(df: DataFrame, *order: str, field: str = "#", first: int = 0,
     """
     if by:
         return df.withColumn(field, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1 + first)
-    at, place = "__partition", "__place"
-    # monotonically_increasing_id is the partition's number and, in the low 33 bits, the row's place in it.
-    rows = written(df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()), "sorted").withColumn(at, F.shiftright(place, 33))
+    return dense(sorted_rows(df, *order, place="__place"), "__place", field, first).select(*dict.fromkeys([*df.columns, field]))
+
+
+def sorted_rows(df: DataFrame, *order, place: str) -> DataFrame:
+    """df sorted by range and written, with a column that rises with the order: the partition's number and, in the low 33 bits, the row's place in it."""
+    return written(df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()), "sorted")
+
+
+def dense(rows: DataFrame, place: str, field: str, first: int = 0) -> DataFrame:
+    """sorted_rows with numbers without gaps in the column `field`."""
+    at = "__partition"
+    rows = rows.withColumn(at, F.shiftright(place, 33))
     counts = rows.groupBy(at).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each partition
     # Broadcast: one row for each partition, however many rows there are.
     out = rows.join(F.broadcast(counts.select(at, before.alias("__before"))), at)
-    return out.withColumn(field, F.col(place).bitwiseAND((1 << 33) - 1) + F.col("__before") + first).select(*dict.fromkeys([*df.columns, field]))
+    return out.withColumn(field, F.col(place).bitwiseAND((1 << 33) - 1) + F.col("__before") + first).drop(at, "__before")
 
 
 def _estimated_bytes(df: DataFrame) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.names import hidden
-from tessera.operators.relational import enumerate_rows
+from tessera.operators.relational import dense, sorted_rows
 
 #: Rows of a block.
 SIZE = 1 << 17
@@ -27,16 +27,19 @@ class Blocks:
     def __init__(self, df: DataFrame, by: tuple[str, ...], order: list, size: int = SIZE, _made: tuple | None = None):
         self.by, self.size = tuple(by), size
         if _made:
-            self.rows, self.columns, self.place, self.block = _made
+            self.rows, self.columns, self.place, self.block, self.gaps = _made
             return
         self.columns = df.columns
         self.place, self.block = hidden(df, "place", "block")
-        rows = enumerate_rows(df, *self.by, *order, field=self.place)
-        self.rows = rows.withColumn(self.block, F.floor(F.col(self.place) / size))
+        # Places rise with the order; they have gaps between partitions until near() counts them.
+        self.rows, self.gaps = self._cut(sorted_rows(df, *self.by, *order, place=self.place)), True
 
-    def _with(self, rows: DataFrame, names: list[str]) -> "Blocks":
+    def _cut(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(self.block, F.floor(F.col(self.place) / self.size))
+
+    def _with(self, rows: DataFrame, names: list[str], gaps: bool) -> "Blocks":
         columns = [*(c for c in self.columns if c not in names), *names]
-        return Blocks(rows, self.by, [], self.size, (rows.select(*columns, self.place, self.block), columns, self.place, self.block))
+        return Blocks(rows, self.by, [], self.size, (rows.select(*columns, self.place, self.block), columns, self.place, self.block, gaps))
 
     @property
     def df(self) -> DataFrame:
@@ -51,28 +54,32 @@ class Blocks:
         A function may read columns named before it. Rows near a block's edge are copied to the blocks that see them.
         """
         own, = hidden(self.rows, "own")
+        given = self._cut(dense(self.rows, self.place, self.place)) if self.gaps else self.rows
         place, block = F.col(self.place), F.col(self.block)
         first, last = F.floor(F.greatest(place - after, F.lit(0)) / self.size), F.floor((place + before) / self.size)
-        rows = self.rows.withColumn(own, block).withColumn(self.block, F.explode(F.sequence(first, last)))
+        rows = given.withColumn(own, block).withColumn(self.block, F.explode(F.sequence(first, last)))
         for name, function in columns.items():
             rows = rows.withColumn(name, function(self._window()))
-        return self._with(rows.filter(F.col(self.block) == F.col(own)).drop(own), list(columns))
-
-    def running(self, columns: dict[str, tuple[str, Column]], falling: bool = False) -> "Blocks":
-        """Adds running columns: name -> (sum, min, max or last, value); last is the last value that is not null. falling: from the end of the series back."""
-        given = hidden(self.rows, *(f"given{i}" for i in range(len(columns))))
-        rows = self.rows.withColumns(dict(zip(given, (c for _, c in columns.values()), strict=True)))
-        edge = F.lit(-1 if not falling else (1 << 63) - 1)
-        place = F.col(self.place) if not falling else -F.col(self.place)
-        latest = lambda g: F.max(F.when(F.col(g).isNotNull(), F.struct(place.alias("at"), F.col(g).alias("v"))))["v"]
-        kinds = [kind for kind, _ in columns.values()]
-        sums = rows.groupBy(self.block, *self.by).agg(*((latest(g) if k == "last" else KINDS[k](F.col(g))).alias(g) for k, g in zip(kinds, given, strict=True)))
-        upto = Window.partitionBy(*self.by).orderBy(F.col(self.block).desc() if falling else F.col(self.block)).rowsBetween(Window.unboundedPreceding, -1)
-        carried = sums.select(self.block, *self.by, *(KINDS[k](F.col(g)).over(upto).alias(g) for k, g in zip(kinds, given, strict=True)), edge.cast("long").alias(self.place))
-        both = rows.unionByName(carried, allowMissingColumns=True)
-        frame = self._window(falling).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        both = both.withColumns({n: KINDS[k](F.col(g)).over(frame) for n, k, g in zip(columns, kinds, given, strict=True)})
-        return self._with(both.filter(F.col(self.place) != edge), list(columns))
+        return self._with(rows.filter(F.col(self.block) == F.col(own)).drop(own), list(columns), False)
+
+    def running(self, columns: dict[str, tuple[str, Column]], back: dict[str, tuple[str, Column]] | None = None) -> "Blocks":
+        """Adds running columns: name -> (sum, min, max or last, value); last is the last value that is not null. back: the same from the end of the series back."""
+        ways = [(n, kind, c, False) for n, (kind, c) in columns.items()] + [(n, kind, c, True) for n, (kind, c) in (back or {}).items()]
+        names = hidden(self.rows, *(f"given{i}" for i in range(len(ways))))
+        rows = self.rows.withColumns({g: c for g, (_, _, c, _) in zip(names, ways, strict=True)})
+        place = F.col(self.place)
+        latest = lambda g, falling: F.max(F.when(F.col(g).isNotNull(), F.struct((-place if falling else place).alias("at"), F.col(g).alias("v"))))["v"]
+        sums = rows.groupBy(self.block, *self.by).agg(*((latest(g, falling) if kind == "last" else KINDS[kind](F.col(g))).alias(g) for g, (_, kind, _, falling) in zip(names, ways, strict=True)))
+        both, edges = rows, {False: -1, True: (1 << 63) - 1}
+        for way, edge in edges.items():
+            # What the blocks before sum up to is one row more, at the block's edge; columns of the other way are null there.
+            upto = Window.partitionBy(*self.by).orderBy(F.col(self.block).desc() if way else F.col(self.block)).rowsBetween(Window.unboundedPreceding, -1)
+            mine = [KINDS[kind](F.col(g)).over(upto).alias(g) for g, (_, kind, _, falling) in zip(names, ways, strict=True) if falling == way]
+            if mine:
+                both = both.unionByName(sums.select(self.block, *self.by, *mine, F.lit(edge).cast("long").alias(self.place)), allowMissingColumns=True)
+        frame = lambda falling: self._window(falling).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumns({n: KINDS[kind](F.col(g)).over(frame(falling)) for g, (n, kind, _, falling) in zip(names, ways, strict=True)})
+        return self._with(both.filter(~place.isin(*edges.values())), [n for n, *_ in ways], self.gaps)
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], by: tuple[str, ...] = (), name: str = "run", size: int = SIZE) -> DataFrame:

@@ -46,7 +46,8 @@ class Series:
     def _numbered(self, name: str, falling: bool = False) -> DataFrame:
         """Adds the row's number in its series, from 1; falling: from the end."""
         if self.split:
-            return Blocks(self.df, self.by, [self.order], self.block).running({name: ("sum", F.lit(1))}, falling).df
+            blocks, number = Blocks(self.df, self.by, [self.order], self.block), {name: ("sum", F.lit(1))}
+            return (blocks.running({}, number) if falling else blocks.running(number)).df
         return self.df.withColumn(name, F.row_number().over(Window.partitionBy(*self.by).orderBy(F.col(self.order).desc()) if falling else self.window))
 
     def _facts(self, **aggregates: Column) -> DataFrame:
@@ -312,7 +313,7 @@ def _around(series: Series, known: DataFrame, payload: Column, asked: DataFrame,
     both = known.unionByName(wanted, allowMissingColumns=True)
     order = [key, kind, row]  # known rows before asked ones of the same key
     if series.split:
-        out = Blocks(both, series.by, order, series.block).running({before: ("last", F.col(row))}).running({after: ("last", F.col(row))}, falling=True).df
+        out = Blocks(both, series.by, order, series.block).running({before: ("last", F.col(row))}, {after: ("last", F.col(row))}).df
     else:
         # Both frames grow from one end, so a row costs the same however long the series: the next row is the last one of the falling order.
         last = lambda o: F.last(row, ignorenulls=True).over(Window.partitionBy(*series.by).orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -116,9 +116,6 @@ def enumerate_lineitem(t):
     return big_column(relational.enumerate_rows(t("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", field="n"), "n")
 
 
-def one_row():
-    return SparkSession.active().range(1)
-
 
 def big_column(df, *names):
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
@@ -406,9 +403,11 @@ def date_absolutes(t):
     return t("orders").select("o_orderkey", *(big(dates.date_to_int(d, s)).alias(s[0]) for s in ("day", "month", "year", "week")))
 
 
-@query("SELECT CAST(unnest(generate_series(DATE '2020-01-01', DATE '2021-06-01', INTERVAL 1 MONTH)) AS DATE) AS d")
+@query("SELECT o_orderpriority, CAST(unnest(generate_series(date_trunc('month', lo), hi, INTERVAL 1 MONTH)) AS DATE) AS d FROM (SELECT o_orderpriority, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders GROUP BY 1)")
 def date_range_grid(t):
-    return one_row().select(F.explode(dates.date_range(F.lit(datetime.date(2020, 1, 15)), F.lit(datetime.date(2021, 6, 1)), "month")).alias("d"))
+    """The months from the first to the last order of each priority."""
+    ends = t("orders").groupBy("o_orderpriority").agg(F.min(F.to_date("o_orderdate")).alias("lo"), F.max(F.to_date("o_orderdate")).alias("hi"))
+    return ends.select("o_orderpriority", F.explode(dates.date_range(F.col("lo"), F.col("hi"), "month")).alias("d"))
 
 
 # Arrays, JSON, CSV
@@ -493,17 +492,23 @@ def ser_yoy(t):
     return _monthly(t).yoy()
 
 
-@query(f"SELECT q AS asked, d AS nearest_key, v AS nearest_value, abs(date_diff('day', q, d)) AS distance FROM (SELECT q, d, v, row_number() OVER (PARTITION BY q ORDER BY abs(date_diff('day', q, d)), d) AS n FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS q), (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS d, COUNT(*)::DOUBLE AS v FROM orders GROUP BY 1)) WHERE n = 1")
+def _asked_months(t):
+    """Each month from the one before the first order to the last one."""
+    ends = t("orders").agg(F.add_months(F.trunc(F.min("o_orderdate"), "month"), -1).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi"))
+    return ends.select(F.explode(dates.date_range(F.col("lo"), F.col("hi"), "month")).alias("asked"))
+
+
+@query(f"SELECT q AS asked, d AS nearest_key, v AS nearest_value, abs(date_diff('day', q, d)) AS distance FROM (SELECT q, d, v, row_number() OVER (PARTITION BY q ORDER BY abs(date_diff('day', q, d)), d) AS n FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS q FROM (SELECT date_trunc('month', min(o_orderdate)) - INTERVAL 1 MONTH AS lo, max(o_orderdate) AS hi FROM orders)), (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS d, COUNT(*)::DOUBLE AS v FROM orders GROUP BY 1)) WHERE n = 1")
 def ser_nearest(t):
     yearly = t("orders").groupBy(F.trunc("o_orderdate", "year").alias("d")).agg(many().cast("double").alias("v"))
-    asked = one_row().select(F.explode(dates.date_range(F.lit(datetime.date(1994, 12, 1)), F.lit(datetime.date(2001, 12, 1)), "month")).alias("asked"))
+    asked = _asked_months(t)
     return big_column(series.nearest(series.Series(yearly, "d", "v"), asked, "asked"), "distance")
 
 
-@query("WITH k AS (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS d, COUNT(*)::DOUBLE AS v FROM orders GROUP BY 1), q AS (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS asked) SELECT asked, CASE WHEN k0.d IS NULL THEN k1.v WHEN k1.d IS NULL OR k0.d = k1.d THEN k0.v ELSE k0.v + (k1.v - k0.v) * date_diff('day', k0.d, asked) / date_diff('day', k0.d, k1.d) END AS value FROM q ASOF LEFT JOIN k k0 ON asked >= k0.d ASOF LEFT JOIN k k1 ON asked <= k1.d")
+@query("WITH k AS (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS d, COUNT(*)::DOUBLE AS v FROM orders GROUP BY 1), q AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS asked FROM (SELECT date_trunc('month', min(o_orderdate)) - INTERVAL 1 MONTH AS lo, max(o_orderdate) AS hi FROM orders)) SELECT asked, CASE WHEN k0.d IS NULL THEN k1.v WHEN k1.d IS NULL OR k0.d = k1.d THEN k0.v ELSE k0.v + (k1.v - k0.v) * date_diff('day', k0.d, asked) / date_diff('day', k0.d, k1.d) END AS value FROM q ASOF LEFT JOIN k k0 ON asked >= k0.d ASOF LEFT JOIN k k1 ON asked <= k1.d")
 def ser_linear_interp(t):
     yearly = t("orders").groupBy(F.trunc("o_orderdate", "year").alias("d")).agg(many().cast("double").alias("v"))
-    asked = one_row().select(F.explode(dates.date_range(F.lit(datetime.date(1994, 12, 1)), F.lit(datetime.date(2001, 12, 1)), "month")).alias("asked"))
+    asked = _asked_months(t)
     return series.interpolate(series.Series(yearly, "d", "v"), asked, "asked")
 
 

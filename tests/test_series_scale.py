@@ -39,7 +39,7 @@ def test_blocks_are_windows(table, block):
         assert rows_of(f(by_block)) == rows_of(f(by_window))
     assert rows_of(scan.runs(table, ["v"], ["o"], ("p",), size=block)) == rows_of(relational.run_id(table, ["v"], ["o"], ("p",)))
     assert rows_of(scan.uniq(table, ["v"], ["o"], ("p",), size=block)) == rows_of(relational.uniq(table, ["v"], ["o"], ("p",)))
-    both = scan.Blocks(table, ("p",), ["o"], block).running({"low": ("min", F.col("v")), "high": ("max", F.col("v"))}).running({"next": ("last", F.col("v"))}, falling=True)
+    both = scan.Blocks(table, ("p",), ["o"], block).running({"low": ("min", F.col("v")), "high": ("max", F.col("v"))}, {"next": ("last", F.col("v"))})
     want = {}
     for r in table.collect():
         want.setdefault(r["p"], []).append((r["o"], r["v"]))
