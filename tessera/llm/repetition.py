@@ -12,13 +12,11 @@ from tessera.llm.common import free_names, no_null, text_slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
-#: The largest share of characters inside n-grams that occurred before in the text, by n; widely used limits of repetition rules.
-NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: The same for characters inside repeated lines, for repeated lines among lines, and for symbols beside words.
-LINE_CHARS_LIMIT, LINES_LIMIT, SYMBOLS_LIMIT = 0.20, 0.30, 0.10
-#: The verdict counts repeats that come to so many lines (LINES_LIMIT) or words (NGRAM_LIMITS): one line that stands at the top
-#: and at the end of a short text, or one phrase said twice, is no junk. The measures themselves have no such threshold.
-LEAST_LINES, LEAST_WORDS = 3, 30
+#: Lengths of n-grams, and the largest share of characters inside those that occurred before in the text.
+ORDERS, NGRAMS_LIMIT = (5, 6, 7, 8, 9, 10), 0.20
+#: The same for characters inside repeated lines, for repeated lines among lines, and for symbols beside words. All limits are
+#: shares, and hold at every size: a line that stands at the top and at the end of a short text of three lines is below them.
+LINE_CHARS_LIMIT, LINES_LIMIT, SYMBOLS_LIMIT = 0.20, 0.40, 0.10
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -60,7 +58,7 @@ def _rolled(ids: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.
             yield order, mixed ^ mixed >> np.uint64(31)
 
 
-def measure(text: str, orders: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> tuple:
+def measure(text: str, orders: tuple[int, ...] = ORDERS) -> tuple:
     """The FIELDS; for each order the share of characters, and the words, in n-grams that occurred before; the share of characters in repeated lines, and that of repeated lines."""
     words = WORD.findall(text)
     n = len(words)
@@ -98,15 +96,13 @@ def measure(text: str, orders: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> tuple:
     return n, chars, symbols, repeats, in_repeats, shares, inside, line_chars, repeats / len(lines) if lines else 0.0
 
 
-def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repetition", least_words: int = LEAST_WORDS, least_lines: int = LEAST_LINES) -> DataFrame:
+def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repetition", ngrams_limit: float = NGRAMS_LIMIT, line_chars_limit: float = LINE_CHARS_LIMIT, lines_limit: float = LINES_LIMIT, symbols_limit: float = SYMBOLS_LIMIT) -> DataFrame:
     """docs with a struct column of that name added: FIELDS, shares of repetition, base_failed and kept.
 
     base_failed: fewer than 50 words, or over half of the words in three-word windows that occur twice or more.
-    kept: not base_failed, and no share above its limit (NGRAM_LIMITS, LINE_CHARS_LIMIT, LINES_LIMIT; symbols at most
-    SYMBOLS_LIMIT of the words), where repeats count for the verdict from least_words words or least_lines lines on.
-    ngram_words holds how many words each order's repeats cover. Each row is measured alone and whole: no shuffle, all
-    rows kept, memory bound by one text. Null texts have no words: base_failed. Repeated rows get equal results; an empty
-    table gives an empty one. name must not be a column of docs, in any case of letters; all its columns stay.
+    kept: not base_failed, and no share above its limit (symbols at most symbols_limit of the words). ngram_words holds how
+    many words each order's repeats cover. Each row is measured alone and whole: no shuffle, all rows kept, memory bound by
+    one text. Null texts have no words: base_failed. Repeated rows get equal results; an empty table gives an empty one. name must not be a column of docs, in any case of letters; all its columns stay.
     """
     free_names(docs, name)
 
@@ -119,8 +115,6 @@ def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repet
 
     m = F.col(name)
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    over = (m["line_chars"] > LINE_CHARS_LIMIT) | ((m["lines"] > LINES_LIMIT) & (m["n_dup_lines"] >= least_lines)) | (m["n_symbols"] > SYMBOLS_LIMIT * m["n_words"])
-    for k, limit in enumerate(NGRAM_LIMITS.values()):
-        over = over | ((m["ngram_chars"][k] > limit) & (m["ngram_words"][k] >= least_words))
+    over = (m["line_chars"] > line_chars_limit) | (m["lines"] > lines_limit) | (m["n_symbols"] > symbols_limit * m["n_words"]) | (F.array_max(m["ngram_chars"]) > ngrams_limit)
     fields = [m[f].alias(f) for f in (*FIELDS, "ngram_chars", "ngram_words", "line_chars", "lines")]
     return docs.withColumn(name, measured.asNondeterministic()(no_null(text_col))).withColumn(name, F.struct(*fields, failed.alias("base_failed"), (~failed & ~over).alias("kept")))
