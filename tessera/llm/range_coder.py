@@ -18,7 +18,8 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 1 << 22
-LANES = 8192
+#: Most lanes, and the least ids of one: the model learns once a step, so more lanes in a small block would mean fewer steps to learn from.
+LANES, LANE_IDS = 8192, 1536
 #: Bits of the mixing weights, and those of order 0 for vocabularies up to 2^18 ids (larger ones take two bits over their size).
 _W, _ORDER0, _EVERY = 10, 20, 32
 _MOST_VOCABULARY = 1 << 20
@@ -199,7 +200,7 @@ class _Reader:
 
 def _shape(n: int) -> tuple[int, int, int]:
     """Lanes, steps, and how many lanes still code at the last step."""
-    lanes = max(1, min(LANES, n // 64))
+    lanes = max(1, min(LANES, n // LANE_IDS))
     steps = -(-n // lanes)
     return lanes, steps, n - lanes * (steps - 1)
 
