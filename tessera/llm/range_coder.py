@@ -19,7 +19,7 @@ import numpy as np
 
 BLOCK_IDS = 1 << 22
 #: Most lanes, and the least ids of one: the model learns once a step, so more lanes in a small block would mean fewer steps to learn from.
-LANES, LANE_IDS = 8192, 1024
+LANES, LANE_IDS = 8192, 384
 #: Bits of the mixing weights, and those of order 0 for vocabularies up to 2^18 ids (larger ones take two bits over their size).
 _W, _ORDER0, _EVERY = 10, 20, 32
 _MOST_VOCABULARY = 1 << 20
