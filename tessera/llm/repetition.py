@@ -12,8 +12,8 @@ from tessera.llm.common import free_names, no_null, text_slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
-#: The largest share of characters inside n-grams that occurred before in the text, by n: longer repeats say more.
-NGRAM_LIMITS = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.12}
+#: Lengths of n-grams, and the largest share of characters, and of words, inside those that occurred before in the text.
+ORDERS, NGRAMS_LIMIT = (5, 6, 7, 8, 9, 10), 0.20
 #: The same for characters inside repeated lines, for repeated lines among lines, and for symbols beside words. All limits are
 #: shares, and hold at every size: a line that stands at the top and at the end of a short text of three lines is below them.
 LINE_CHARS_LIMIT, LINES_LIMIT, SYMBOLS_LIMIT = 0.20, 0.40, 0.10
@@ -58,7 +58,7 @@ def _rolled(ids: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.
             yield order, mixed ^ mixed >> np.uint64(31)
 
 
-def measure(text: str, orders: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> tuple:
+def measure(text: str, orders: tuple[int, ...] = ORDERS) -> tuple:
     """The FIELDS; for each order the share of characters, and the words, in n-grams that occurred before; the share of characters in repeated lines, and that of repeated lines."""
     words = WORD.findall(text)
     n = len(words)
@@ -96,7 +96,7 @@ def measure(text: str, orders: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> tuple:
     return n, chars, symbols, repeats, in_repeats, shares, inside, line_chars, repeats / len(lines) if lines else 0.0
 
 
-def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repetition", ngram_limits: dict[int, float] = NGRAM_LIMITS, line_chars_limit: float = LINE_CHARS_LIMIT, lines_limit: float = LINES_LIMIT, symbols_limit: float = SYMBOLS_LIMIT) -> DataFrame:
+def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repetition", ngrams_limit: float = NGRAMS_LIMIT, line_chars_limit: float = LINE_CHARS_LIMIT, lines_limit: float = LINES_LIMIT, symbols_limit: float = SYMBOLS_LIMIT) -> DataFrame:
     """docs with a struct column of that name added: FIELDS, shares of repetition, base_failed and kept.
 
     base_failed: fewer than 50 words, or over half of the words in three-word windows that occur twice or more.
@@ -105,19 +105,17 @@ def repetition_rules(docs: DataFrame, text_col: str = "text", name: str = "repet
     one text. Null texts have no words: base_failed. Repeated rows get equal results; an empty table gives an empty one. name must not be a column of docs, in any case of letters; all its columns stay.
     """
     free_names(docs, name)
-    orders = tuple(ngram_limits)
 
     @F.arrow_udf(SCHEMA)
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [measure(t, orders) for part in text_slices(texts) for t in part]
+            rows = [measure(t) for part in text_slices(texts) for t in part]
             cols = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.float64())), pa.array(cols[6], pa.list_(pa.int64())), pa.array(cols[7], pa.float64()), pa.array(cols[8], pa.float64())], [*FIELDS, "ngram_chars", "ngram_words", "line_chars", "lines"])
 
     m = F.col(name)
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     over = (m["line_chars"] > line_chars_limit) | (m["lines"] > lines_limit) | (m["n_symbols"] > symbols_limit * m["n_words"])
-    for k, limit in enumerate(ngram_limits.values()):
-        over = over | (m["ngram_chars"][k] > limit)
+    over = over | (F.array_max(m["ngram_chars"]) > ngrams_limit) | (F.array_max(m["ngram_words"]) > ngrams_limit * m["n_words"])
     fields = [m[f].alias(f) for f in (*FIELDS, "ngram_chars", "ngram_words", "line_chars", "lines")]
     return docs.withColumn(name, measured.asNondeterministic()(no_null(text_col))).withColumn(name, F.struct(*fields, failed.alias("base_failed"), (~failed & ~over).alias("kept")))

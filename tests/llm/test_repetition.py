@@ -9,7 +9,7 @@ from tessera.llm.queries import op5_repetition
 from tessera.llm.repetition import measure, repetition_rules
 
 SPACE = " \t\n\x0b\x0c\r"
-LIMITS = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.12}
+ORDERS = (5, 6, 7, 8, 9, 10)
 
 
 def words_of(text):
@@ -31,7 +31,7 @@ def brute(text):
     again = [x for i, x in enumerate(lines) if x in lines[:i]]
     symbols = sum(c in "#*$%&|<>" for c in text)
     shares, covers = {}, {}
-    for n in LIMITS:
+    for n in ORDERS:
         seen, hit = set(), set()
         for i in range(len(w) - n + 1):
             g = tuple(w[i : i + n])
@@ -41,7 +41,7 @@ def brute(text):
         shares[n], covers[n] = sum(len(w[i]) for i in hit) / max(1, sum(map(len, w))), len(hit)
     failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
     over = symbols > 0.1 * len(w) or bool(again) and (sum(map(len, again)) > 0.2 * sum(map(len, lines)) or len(again) > 0.4 * len(lines))
-    over = over or any(shares[n] > LIMITS[n] for n in LIMITS)
+    over = over or any(shares[n] > 0.2 or covers[n] > 0.2 * len(w) for n in ORDERS)
     return (len(w), sum(map(len, w)), symbols, len(again), len(inside)), shares, covers, failed, not failed and not over
 
 
