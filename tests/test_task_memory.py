@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import relational
 from tessera.plans.catalogue import QUERIES
 from tessera.sources import files
 
@@ -22,3 +23,21 @@ def test_open_files_need_no_sort(spark, tmp_path):
     assert files.listing(spark, f"{tmp_path}/few", "*.parquet", recursive=True).count() == 40
     assert sorted(map(tuple, files.read(spark, f"{tmp_path}/few", "parquet").select("k", "id").collect())) == sorted((i % 40, i) for i in range(1000))
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_an_offset_leaves_rows_in_many_tasks(spark):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(5000).select(((F.col("id") * 7) % 5000).alias("k"), (F.col("id") % 3).alias("tie")).repartition(5)
+        got = relational.skip(rows, 1700, "k")
+        assert got.columns == ["k", "tie"] and [r["k"] for r in got.collect()] == list(range(1700, 5000))
+        assert got.rdd.getNumPartitions() > 4
+        ties = relational.skip(rows, 1700, "tie")
+        assert [r["tie"] for r in ties.collect()] == sorted(i % 3 for i in range(5000))[1700:]
+        assert relational.skip(rows, 0, "k").count() == 5000 and relational.skip(rows, 6000, "k").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
