@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import relational
+from tessera.operators import relational, scan
 from tessera.plans.catalogue import QUERIES
 from tessera.sources import files
 
@@ -41,3 +41,25 @@ def test_an_offset_leaves_rows_in_many_tasks(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_tasks_of_blocks_follow_the_rows(spark):
+    """Settings that leave few partitions do not make long tasks."""
+    conf = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 20_000
+        rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("o")).withColumn("k", F.floor(F.col("o") / 7))
+        place = relational.sorted_rows(rows, "o", place="p").select(F.shiftright("p", 33).alias("task"))
+        assert place.distinct().count() > 2
+        got = scan.runs(rows, ["k"], ["o"], size=128)
+        by_task = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("run").alias("n"), F.max("run")).collect()]
+        assert sum(by_task) == n and max(by_task) < n // 5
+        assert {(r["k"], r["run"]) for r in got.collect()} == {(i, i + 1) for i in range(-(-n // 7))}
+        assert scan.runs(rows.limit(0), ["k"], ["o"]).collect() == []
+        assert {k: spark.conf.get(k) for k in conf} == conf
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
