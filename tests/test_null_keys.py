@@ -46,3 +46,33 @@ def test_no_task_makes_all_pairs_of_null_keys(spark, how, most):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_files_of_all_pairs_of_null_keys_stay_small(spark, tmp_path, broadcast):
+    side = lambda c, n: spark.range(n).select(F.nullif(F.col("id") % 4, F.lit(0)).alias("k"), (F.col("id") * 7_919_999).alias(c)).filter("k is null or k = 1 and id < 400")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        relational.join(side("a", 24_000), side("b", 16_000), "k", "inner").write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.filter("k is null").agg(F.count("*"), F.count_distinct("a"), F.count_distinct("b")).first() == (6000 * 4000, 6000, 4000)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.3 * out.count()
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "string", "struct<x: int>"])
+def test_pairs_of_lists_of_null_keys_are_all_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(relational, "PACK", 3)
+    monkeypatch.setattr(relational, "PACK_BUCKETS", 2)
+    key = f"CAST(CASE WHEN id % 3 = 0 THEN NULL ELSE {'named_struct(\'x\', id % 5)' if 'struct' in kind else 'id % 5'} END AS {kind}) AS k"
+    also = "CASE WHEN id % 2 = 0 THEN -0.0D WHEN id % 4 = 1 THEN double('nan') ELSE 1D END AS j"
+    left = spark.range(60).selectExpr(key, also, "CAST(id % 7 AS INT) AS a", "map('m', id % 2) AS m")  # many equal rows
+    right = spark.range(45).selectExpr(key, also, "id AS b").withColumn("j", F.expr("CASE WHEN j = 0 THEN 0D ELSE j END"))
+    rows = lambda df: Counter(map(str, df.select(F.to_json(F.struct("k", "j", "a", "m", "b"), {"ignoreNullFields": "false"})).collect()))
+    got = relational.join(left, right, ["k", "j"], "inner", right_is_distinct=True)
+    assert [c.name for c in got.schema] == ["k", "j", "a", "m", "b"] and [c.dataType for c in got.schema][:2] == [c.dataType for c in right.schema][:2]
+    l, r = left.alias("l"), right.alias("r")
+    want = l.join(r, F.col("l.k").eqNullSafe(F.col("r.k")) & F.col("l.j").eqNullSafe(F.col("r.j"))).select("r.k", "r.j", "a", "m", "b")
+    assert rows(got) == rows(want) and sum(rows(want).values()) > 200
